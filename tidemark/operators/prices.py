@@ -3,8 +3,9 @@ calendar (about 260 rows a year) however many trades were collapsed into them be
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import change
 from tidemark.operators.asof import asof_join
@@ -35,26 +36,52 @@ def _by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
 
-def _full(column: Column, frame, rows: int, value: Column) -> Column:
-    """The windowed value once `rows` non-NULL inputs exist, NULL during warm-up."""
-    return F.when(F.count(column).over(frame) == rows, value)
+def rolling(df: DataFrame, w: Window, specs: Mapping[str, tuple[str, str, int]]) -> DataFrame:
+    """Adds fixed-length row frames: name -> (column, "sum" | "max" | "min", rows), NULL during warm-up.
+
+    A frame of n rows is put together from frames of 1, 2, 4, ... rows, each built from two of half its
+    length by a lag. Every row costs about log2(n) steps where a sliding frame would redo n, and unlike
+    differences of running sums nothing cancels. All steps share one partitioning and sort order.
+    """
+    merge = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
+    pairs = sorted({(c, k) for c, k, _ in specs.values()})
+    top = max(n for _, _, n in specs.values()).bit_length() - 1
+    level = lambda c, k, i: f"_{c}_{k}_{i}"
+    out = df.select("*", F.row_number().over(w).alias("_rows"), *[F.col(c).alias(level(c, k, 0)) for c, k in pairs])
+    for i in range(top):
+        steps = [merge[k](F.col(level(c, k, i)), F.lag(level(c, k, i), 2**i).over(w)).alias(level(c, k, i + 1)) for c, k in pairs]
+        out = out.select("*", *steps)
+    columns = []
+    for name, (c, k, n) in specs.items():
+        size, value, offset = n.bit_length() - 1, None, 0
+        if k == "sum":  # disjoint pieces
+            for i in reversed(range(n.bit_length())):
+                if n >> i & 1:
+                    piece = F.lag(level(c, k, i), offset).over(w) if offset else F.col(level(c, k, i))
+                    value, offset = piece if value is None else value + piece, offset + 2**i
+        else:  # two overlapping pieces
+            value, rest = F.col(level(c, k, size)), n - 2**size
+            value = merge[k](value, F.lag(level(c, k, size), rest).over(w)) if rest else value
+        columns.append(F.when(F.col("_rows") >= n, value).alias(name))
+    return out.select(*df.columns, "_rows", *columns)
 
 
 def price_factors(bars: DataFrame) -> DataFrame:
     """Per bar: close and the seven price factors. Lags count rows, not calendar days."""
     w = _by_symbol()
-    adj = F.col("adj_close")
-    daily = F.col("_daily")
-    f60, f200, f252 = (w.rowsBetween(1 - n, 0) for n in (60, 200, TRADING_DAYS))
-    return bars.select("symbol", "date", "close", "adj_close", change(adj, F.lag(adj).over(w)).alias("_daily")).select(
+    adj, daily = F.col("adj_close"), F.col("_daily")
+    f60 = w.rowsBetween(-59, 0)
+    base = bars.select("symbol", "date", "close", "adj_close", change(adj, F.lag(adj).over(w)).alias("_daily"))
+    base = rolling(base, w, {"_sum200": ("adj_close", "sum", 200), "_max252": ("adj_close", "max", TRADING_DAYS)})
+    return base.select(
         "symbol", "date", "close",
         change(adj, F.lag(adj, 21).over(w)).alias("ret_1m"),
         change(adj, F.lag(adj, 63).over(w)).alias("ret_3m"),
         change(adj, F.lag(adj, 126).over(w)).alias("ret_6m"),
         change(F.lag(adj, 21).over(w), F.lag(adj, TRADING_DAYS).over(w)).alias("ret_12m_ex_1m"),
-        _full(adj, f200, 200, adj / F.avg(adj).over(f200) - 1).alias("sma200_gap"),
-        _full(daily, f60, 60, F.stddev_samp(daily).over(f60) * math.sqrt(TRADING_DAYS)).alias("vol_60d"),
-        _full(adj, f252, TRADING_DAYS, adj / F.max(adj).over(f252) - 1).alias("drawdown_252d"),
+        (adj / (F.col("_sum200") / 200) - 1).alias("sma200_gap"),
+        F.when(F.count(daily).over(f60) == 60, F.stddev_samp(daily).over(f60) * math.sqrt(TRADING_DAYS)).alias("vol_60d"),
+        (adj / F.col("_max252") - 1).alias("drawdown_252d"),
     )
 
 
@@ -72,19 +99,19 @@ def bar_features(bars: DataFrame) -> DataFrame:
     """Event-study features on every bar that has at least 252 earlier bars (population volatility here)."""
     w = _by_symbol()
     adj, daily = F.col("adj_close"), F.col("_daily")
-    f60, f200, f252 = (w.rowsBetween(1 - n, 0) for n in (60, 200, TRADING_DAYS))
-    base = bars.select("symbol", "date", "adj_close", change(adj, F.lag(adj).over(w)).alias("_daily"), F.row_number().over(w).alias("_row"))
+    base = bars.select("symbol", "date", "adj_close", change(adj, F.lag(adj).over(w)).alias("_daily"))
+    base = rolling(base, w, {"_sum200": ("adj_close", "sum", 200), "_max252": ("adj_close", "max", TRADING_DAYS), "_min252": ("adj_close", "min", TRADING_DAYS)})
     return base.select(
-        "symbol", "date", "_row",
+        "symbol", "date", F.col("_rows").alias("_row"),
         change(adj, F.lag(adj, 21).over(w)).alias("ret_1m"),
         change(adj, F.lag(adj, 63).over(w)).alias("ret_3m"),
         change(adj, F.lag(adj, 126).over(w)).alias("ret_6m"),
         change(F.lag(adj, 21).over(w), F.lag(adj, TRADING_DAYS).over(w)).alias("ret_12m_ex_1m"),
         change(adj, F.lag(adj, 756).over(w)).alias("ret_36m"),
-        (adj / F.avg(adj).over(f200) - 1).alias("sma200_gap"),
-        (F.stddev_pop(daily).over(f60) * math.sqrt(TRADING_DAYS)).alias("vol_60d"),
-        (adj / F.max(adj).over(f252) - 1).alias("drawdown_252d"),
-        (adj / F.min(adj).over(f252) - 1).alias("from_52w_low"),
+        (adj / (F.col("_sum200") / 200) - 1).alias("sma200_gap"),
+        (F.stddev_pop(daily).over(w.rowsBetween(-59, 0)) * math.sqrt(TRADING_DAYS)).alias("vol_60d"),
+        (adj / F.col("_max252") - 1).alias("drawdown_252d"),
+        (adj / F.col("_min252") - 1).alias("from_52w_low"),
     )
 
 

@@ -7,20 +7,21 @@ from tidemark.operators import facts as fx, portfolio as pf, prices as px, scori
 from tidemark.plans.cte import PRICE, define, score_sql
 from tidemark.plans.registry import query, r, rounded
 from tidemark.plans.standins import REGION_FUNDS, Lake
+from tidemark.staging import staged
 
 
 def price_panel(lake: Lake) -> DataFrame:
-    return px.month_ends(px.price_factors(lake.bars), "calendar").select("symbol", "as_of", "close", *PRICE)
+    return px.month_ends(px.price_factors(lake.bar_table), "calendar").select("symbol", "as_of", "close", *PRICE)
 
 
 def price_scores(lake: Lake) -> DataFrame:
-    return sc.score(price_panel(lake))
+    return sc.score(staged(price_panel(lake), "metrics"))
 
 
 def month_prices(lake: Lake) -> DataFrame:
     """Month-end prices of symbols, index and funds."""
     cols = ["symbol", "date", "adj_close"]
-    every = lake.bars.select(*cols).unionByName(lake.index_bars.select(*cols)).unionByName(lake.fund_bars.select(*cols))
+    every = lake.bar_table.select(*cols).unionByName(lake.index_bars.select(*cols)).unionByName(lake.fund_bars.select(*cols))
     return every.groupBy("symbol", F.last_day("date").alias("as_of")).agg(F.max_by("adj_close", "date").alias("adj_close"))
 
 
@@ -35,24 +36,25 @@ def momentum_ranks(lake: Lake) -> DataFrame:
     """Bars -> month-end momentum and volatility -> percentile rank within the month."""
     from tidemark.operators.ranks import percentiles
 
-    panel = price_panel(lake).select("symbol", "as_of", "ret_1m", "vol_60d")
+    factors = px.price_factors(lake.bars).select("symbol", "date", "ret_1m", "vol_60d")
+    panel = staged(px.month_ends(factors, "calendar").drop("date"), "metrics")
     ranks = percentiles(panel, ["symbol"], ["as_of"], {"ret_1m": True}, "").withColumnRenamed("ret_1m", "rank_pct")
     return rounded(panel.join(ranks, ["symbol", "as_of"], "left"))
 
 
-@query("S13 daily bars", f"SELECT symbol, date, {r('open high low close adj_close')}, volume FROM bars")
+@query("S13 daily bars", f"SELECT symbol, date, {r('open high low close adj_close', 10)}, volume FROM bars")
 def daily_bars(lake: Lake) -> DataFrame:
-    return rounded(px.normalise_daily(lake.bars))
+    return rounded(px.normalise_daily(lake.bars), 10)
 
 
-@query("W1-W5", f"SELECT symbol, date, {r(['close'] + PRICE)} FROM daily_factors")
+@query("W1-W5", f"SELECT symbol, date, close, {r(PRICE)} FROM daily_factors")
 def price_factors(lake: Lake) -> DataFrame:
-    return rounded(px.price_factors(lake.bars))
+    return rounded(px.price_factors(lake.bars), keep=("close",))
 
 
-@query("W6", "SELECT symbol, as_of, date, round(close, 6) AS close FROM month_rows")
+@query("W6", "SELECT symbol, as_of, date, round(close, 8) AS close FROM month_rows")
 def month_end_rows(lake: Lake) -> DataFrame:
-    return rounded(px.month_ends(lake.bars.select("symbol", "date", "close"), "calendar"))
+    return rounded(px.month_ends(lake.bars.select("symbol", "date", "close"), "calendar"), 8)
 
 
 @query("W7 W8 price categories", f"SELECT symbol, as_of, {r(sc.SCORE_COLUMNS)} FROM price_scores")
@@ -61,14 +63,14 @@ def price_only_scores(lake: Lake) -> DataFrame:
 
 
 @query("J13 raw close", """
-SELECT symbol, date, round(close * coalesce((SELECT product(ratio) FROM split_table s WHERE s.symbol = b.symbol AND s.date > b.date), 1), 6) AS raw_close FROM bars b
+SELECT symbol, date, round(close * coalesce((SELECT product(ratio) FROM split_table s WHERE s.symbol = b.symbol AND s.date > b.date), 1), 8) AS raw_close FROM bars b
 """)
 def raw_close(lake: Lake) -> DataFrame:
-    return rounded(px.with_raw_close(lake.bars, lake.splits).select("symbol", "date", "raw_close"))
+    return rounded(px.with_raw_close(lake.bars, lake.splits).select("symbol", "date", "raw_close"), 8)
 
 
 @query("W22 back-adjust", """
-SELECT symbol, date, split_factor, round(close / coalesce(product(split_factor) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 6) AS close_adjusted
+SELECT symbol, date, split_factor, round(close / coalesce(product(split_factor) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 8) AS close_adjusted
 FROM (SELECT symbol, date, close, CASE WHEN date_trunc('month', date) > date_trunc('month', lag(date) OVER (PARTITION BY symbol ORDER BY date)) AND month(date) = 6 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS split_factor FROM bars)
 """)
 def split_back_adjust(lake: Lake) -> DataFrame:
@@ -76,7 +78,7 @@ def split_back_adjust(lake: Lake) -> DataFrame:
     prev = F.lag("date").over(px._by_symbol())
     june = (F.month("date") == 6) & (F.trunc("date", "MM") > F.trunc(prev, "MM"))
     raw = lake.bars.select("symbol", "date", "close", F.when(june, 1.5).otherwise(1.0).alias("split_factor"))
-    return rounded(px.back_adjust(raw).select("symbol", "date", "split_factor", "close_adjusted"))
+    return rounded(px.back_adjust(raw).select("symbol", "date", "split_factor", "close_adjusted"), 8)
 
 
 # --- membership ------------------------------------------------------------------------------------
@@ -85,9 +87,9 @@ SELECT m.* FROM month_rows m WHERE EXISTS (SELECT 1 FROM spells s WHERE s.symbol
 """)
 
 
-@query("J1", "SELECT symbol, as_of, round(close, 6) AS close FROM member_rows")
+@query("J1", "SELECT symbol, as_of, round(close, 8) AS close FROM member_rows")
 def members_only(lake: Lake) -> DataFrame:
-    return rounded(sp.members_only(price_panel(lake), lake.spells).select("symbol", "as_of", "close"))
+    return rounded(sp.members_only(price_panel(lake), lake.spells).select("symbol", "as_of", "close"), 8)
 
 
 @query("J2", """
@@ -190,7 +192,7 @@ WHERE rn = 1 GROUP BY 1, 2, 3, 4, 5, 6
 
 @query("A1 P4 P5 J3 S7", f"SELECT symbol, period, period_type, accn, form, filed, {r(fx.STATEMENT_COLUMNS + ['free_cash_flow'], 4)} FROM financials")
 def financials(lake: Lake) -> DataFrame:
-    return rounded(fx.build_financials(lake.facts), 4)
+    return rounded(fx.build_financials(staged(lake.facts, "facts")), 4)
 
 
 # naive form: for every probe date, everything filed before it
@@ -227,7 +229,11 @@ define("scores", score_sql("panel", sc.CATEGORIES, PRICE + fx.FUNDAMENTAL_FACTOR
 
 
 def factor_panel(lake: Lake) -> DataFrame:
-    return fx.factor_panel(lake.bars, fx.build_financials(lake.facts), lake.splits, as_of="calendar")
+    return fx.factor_panel(lake.bars, financial_table(lake), lake.splits, as_of="calendar")
+
+
+def financial_table(lake: Lake) -> DataFrame:
+    return staged(fx.build_financials(staged(lake.facts, "facts")), "financials")
 
 
 @query("Q1 A2-A6 J9 P6 P7", f"SELECT symbol, as_of, {r(PRICE + fx.FUNDAMENTAL_FACTORS)} FROM panel", name="factor_panel")
@@ -237,7 +243,7 @@ def factor_panel_query(lake: Lake) -> DataFrame:
 
 @query("Q2 W7 W8", f"SELECT symbol, as_of, {r(sc.SCORE_COLUMNS)} FROM scores")
 def scores(lake: Lake) -> DataFrame:
-    return rounded(sc.score(factor_panel(lake)))
+    return rounded(sc.score(staged(factor_panel(lake), "metrics")))
 
 
 # --- portfolios ------------------------------------------------------------------------------------
@@ -249,8 +255,8 @@ LEFT JOIN month_prices b ON b.symbol = a.symbol AND b.as_of = g.exit1 LEFT JOIN
 
 
 def forward(lake: Lake, horizon: int = 1) -> DataFrame:
-    prices = month_prices(lake)
-    return pf.forward_returns(prices, lake.bars.select(F.last_day("date").alias("as_of")), horizon)
+    prices = staged(month_prices(lake), "month_prices")
+    return pf.forward_returns(prices, prices, horizon)
 
 
 @query("W10 J14", "SELECT as_of, symbol, round(fwd, 6) AS fwd FROM forward")
@@ -292,7 +298,7 @@ SELECT as_of, gross - traded * 10 / 1e4 AS strategy, traded / 2 AS turnover, sec
 
 
 def strategy(lake: Lake) -> DataFrame:
-    return pf.rebalance(member_scores(lake), forward(lake), "total", 10, 10.0, pf.sector_benchmark(lake.universe, REGION_FUNDS))
+    return pf.rebalance(member_scores(lake), staged(forward(lake), "forward"), "total", 10, 10.0, pf.sector_benchmark(lake.universe, REGION_FUNDS))
 
 
 @query("K1", "SELECT as_of, symbol, pick FROM picks")
@@ -321,9 +327,9 @@ SELECT as_of, name, ret FROM (SELECT *, count(*) OVER (PARTITION BY as_of) AS wi
 
 
 def backtest(lake: Lake) -> DataFrame:
-    fwd = forward(lake)
-    held = pf.rebalance(member_scores(lake), fwd, "total", 10, 10.0, pf.sector_benchmark(lake.universe, REGION_FUNDS))
-    return pf.backtest_returns({"top10_total": held}, pf.universe_returns(member_scores(lake), fwd), fwd)
+    fwd, scored = staged(forward(lake), "forward"), staged(member_scores(lake), "scores")
+    held = pf.rebalance(scored, fwd, "total", 10, 10.0, pf.sector_benchmark(lake.universe, REGION_FUNDS))
+    return staged(pf.backtest_returns({"top10_total": staged(held, "held")}, pf.universe_returns(scored, fwd), fwd), "returns")
 
 
 @query("Q3 U6 returns", "SELECT as_of, name, round(ret, 6) AS ret FROM backtest_long")
@@ -332,11 +338,11 @@ def backtest_returns(lake: Lake) -> DataFrame:
 
 
 @query("W11", """
-SELECT as_of, name, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY name ORDER BY as_of) - 1, 6) AS drawdown
+SELECT as_of, name, round(ln(equity), 6) AS log_equity, round(equity / max(equity) OVER (PARTITION BY name ORDER BY as_of) - 1, 6) AS drawdown
 FROM (SELECT *, product(1 + ret) OVER (PARTITION BY name ORDER BY as_of) AS equity FROM backtest_long)
 """)
 def equity_curves(lake: Lake) -> DataFrame:
-    return rounded(pf.equity_curve(backtest(lake), ["name"]).select("as_of", "name", "equity", "drawdown"))
+    return rounded(pf.equity_curve(backtest(lake), ["name"]).select("as_of", "name", F.log("equity").alias("log_equity"), "drawdown"))
 
 
 @query("A9 W11 Q3 summary", """

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import tune
 from tidemark.plans.cte import with_ctes
 from tidemark.plans.standins import Lake
 
@@ -18,6 +19,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        tune(spark)
         return self.plan(Lake(spark, folder))
 
 

@@ -22,6 +22,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.scalar import lookup
+from tidemark.staging import staged
 
 # fixed values of the stand-ins
 REGION_FUNDS = {"AFRICA": "XAF", "AMERICA": "XAM", "ASIA": "XAS", "EUROPE": "XEU", "MIDDLE EAST": "XME"}
@@ -57,17 +58,22 @@ class Lake:
             (F.col("close") * (1 + (F.col("l_suppkey") % 7) * 0.01)).alias("adj_close"), "volume",
         )
 
+    @cached_property
+    def bar_table(self) -> DataFrame:
+        """The bars as a written table, for plans that read them more than once."""
+        return staged(self.bars, "bars")
+
     @cached_property
     def index_bars(self) -> DataFrame:
         """The market index, symbol SPY: mean close of all symbols per day."""
-        return self.bars.groupBy("date").agg(F.avg("close").alias("close"), F.avg("adj_close").alias("adj_close")).select(F.lit("SPY").alias("symbol"), "date", "close", "adj_close")
+        return self.bar_table.groupBy("date").agg(F.avg("close").alias("close"), F.avg("adj_close").alias("adj_close")).select(F.lit("SPY").alias("symbol"), "date", "close", "adj_close")
 
     @cached_property
     def fund_bars(self) -> DataFrame:
         """One fund per region and a second broad index (QQQ: mean daily high)."""
-        regional = self.bars.join(self.universe.select("symbol", "sector"), "symbol")
+        regional = self.bar_table.join(self.universe.select("symbol", "sector"), "symbol")
         funds = regional.groupBy(lookup(F.col("sector"), REGION_FUNDS).alias("symbol"), "date").agg(F.avg("close").alias("close"), F.avg("adj_close").alias("adj_close"))
-        broad = self.bars.groupBy("date").agg(F.avg("high").alias("close")).select(F.lit("QQQ").alias("symbol"), "date", "close", F.col("close").alias("adj_close"))
+        broad = self.bar_table.groupBy("date").agg(F.avg("high").alias("close")).select(F.lit("QQQ").alias("symbol"), "date", "close", F.col("close").alias("adj_close"))
         return funds.unionByName(broad)
 
     @cached_property

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # a hot join key is split even when that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # recording a Python stack for every column expression costs more than planning
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # symbols such as "1E5" must stay text when read from partition folders
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
@@ -27,6 +29,18 @@ def build_session(app: str = "tidemark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+# settings that change no result; applied to sessions this package did not build
+_TUNING = [
+    "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled",
+]
+
+
+def tune(spark: SparkSession) -> None:
+    for key in _TUNING:
+        spark.conf.set(key, SETTINGS[key])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables: the shared one named by the cluster in
     `spark.checkpoint.dir`. Only where none is named (tests, one machine) is a local one made."""
