@@ -5,7 +5,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.stopwords import STOP_WORDS
 from tidemark.sources.text_files import unescape_common
 
 # fixed values: kept sections per form, chunk sizes, headings, block tags
@@ -63,8 +62,21 @@ def chunk_filings(filings: DataFrame, lines: str = "lines", min_chars: int = MIN
     return out.select("symbol", "accn", "form", "filed", "c.item", "chunk", "c.text")
 
 
-def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+def default_stop_words() -> list[str]:
+    """scikit-learn's English list where that package is installed, else Spark's own."""
+    try:
+        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
+
+        return sorted(ENGLISH_STOP_WORDS)
+    except ImportError:
+        from pyspark.ml.feature import StopWordsRemover
+
+        return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def tokens(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     """Lower-case words without stop words; plural endings cut after the stop words are gone."""
+    stop_words = default_stop_words() if stop_words is None else stop_words
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in stop_words])
     kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
@@ -80,22 +92,22 @@ def singular(word: Column) -> Column:
     )
 
 
-def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select("symbol", key, F.explode(tokens(F.col(text))).alias("term")).groupBy("symbol", key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None) -> DataFrame:
+    return df.select("symbol", key, F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("symbol", key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, salts: int = 16) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, salts: int = 16, stop_words: Sequence[str] | None = None) -> DataFrame:
     """Top-k chunks per query within the query's own symbol, by cosine of sublinear TF-IDF vectors.
 
     chunks: symbol, chunk_id, text. queries: symbol, query_id, query. Words are counted per chunk map-side.
     A frequent word of a dominant symbol would make one huge join key, so the (symbol, word) statistics are
     replicated over `salts` and the chunk side picks its salt by chunk.
     """
-    tf = _counts(chunks, "chunk_id", "text").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    tf = _counts(chunks, "chunk_id", "text", stop_words).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
     n = chunks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("symbol", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "symbol")
     idf = df.select("symbol", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    asked = _counts(queries, "query_id", "query").join(idf, ["symbol", "term"])  # unknown words drop out
+    asked = _counts(queries, "query_id", "query", stop_words).join(idf, ["symbol", "term"])  # unknown words drop out
     asked = asked.withColumn("q", (1 + F.log("tf")) * F.col("idf"))
     norms = asked.groupBy("symbol", "query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     # per word: its idf and the queries that use it, so one join serves norms and products

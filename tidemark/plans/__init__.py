@@ -1,5 +1,5 @@
 """Every registered query, grouped by subject."""
-from tidemark.plans import market  # noqa: F401
+from tidemark.plans import market, study  # noqa: F401
 from tidemark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

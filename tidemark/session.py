@@ -29,10 +29,10 @@ def build_session(app: str = "tidemark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-# settings that change no result; applied to sessions this package did not build
+# runtime settings that change no result; applied to sessions this package did not build
 _TUNING = [
     "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
 ]
 
 

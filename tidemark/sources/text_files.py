@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.scalar import lookup, parse_market_cap
 
@@ -40,12 +41,18 @@ def read_list_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean_list(spark.read.schema("date string, symbol string, name string, recommendation string").option("header", True).csv(path))
 
 
+def two_digit_date(text: Column) -> Column:
+    """MM/dd/yy with the POSIX pivot: 69-99 are the 1900s (Spark alone reads every year as 20yy)."""
+    day = F.to_date(text, "MM/dd/yy")
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
 def clean_list(raw: DataFrame) -> DataFrame:
     """Recommendation list: month/day/two-digit-year dates, trimmed upper-case codes, fixed symbols, one
     row per (date, symbol, recommendation)."""
     symbol = F.upper(F.trim("symbol"))
     clean = raw.select(
-        F.to_date("date", "MM/dd/yy").alias("date"), F.coalesce(lookup(symbol, SYMBOL_FIXES), symbol).alias("symbol"),
+        two_digit_date(F.col("date")).alias("date"), F.coalesce(lookup(symbol, SYMBOL_FIXES), symbol).alias("symbol"),
         F.trim("name").alias("name"), F.upper(F.trim("recommendation")).alias("recommendation"),
     )
     return clean.groupBy("date", "symbol", "recommendation").agg(F.min("name").alias("name")).select("date", "symbol", "name", "recommendation")
@@ -70,7 +77,7 @@ def clean_sheet(raw: DataFrame) -> DataFrame:
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
