@@ -6,8 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 OPEN_MINUTE = 570  # 09:30
 MIN_BARS = 30
@@ -168,7 +168,7 @@ def supertrend(bars: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "date
     atr = smoothed(base, by, ts, {"_atr": ("_tr", period)})
     ready = atr.select(*by, ts, ((F.col("high") + F.col("low")) / 2).alias("mid"), (F.col("_atr") * multiplier).alias("band"), "close")
     ordered = ready.repartition(*by).sortWithinPartitions(*by, ts)
-    schema = ready.select(*by, ts).schema.add("supertrend", "double").add("direction", "int")
+    schema = ready.select(*by, ts).schema.add("supertrend", DoubleType()).add("direction", IntegerType())
     names = schema.fieldNames()
 
     def walk(batches):
@@ -219,4 +219,4 @@ def technical_votes(snap: DataFrame) -> DataFrame:
     return snap.withColumn("vote", score).withColumn("label", label)
 
 
-__all__ = ["bars_from_ticks", "resample_intraday", "resample_weekly", "smoothed", "indicators", "supertrend", "snapshots", "all_timeframes", "technical_votes", "pd"]
+__all__ = ["bars_from_ticks", "resample_intraday", "resample_weekly", "smoothed", "indicators", "supertrend", "snapshots", "all_timeframes", "technical_votes"]

@@ -29,10 +29,10 @@ def score(metrics: DataFrame) -> DataFrame:
     ranked = percentiles_long(metrics, ["symbol"], ["as_of"], measures)
     # a marker row per (symbol, as_of) keeps rows without ranks, inside the same aggregation
     marks = metrics.select("symbol", "as_of", F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("pct"))
-    means = ranked.unionByName(marks).groupBy("symbol", "as_of").agg(
-        *[F.avg(F.when(F.col("measure").isin([f for f, k in category_of.items() if k == c]), F.col("pct"))).alias(f"_{c}") for c in CATEGORIES]
-    )
-    out = means.select("symbol", "as_of", *[(F.col(f"_{c}") * 100).alias(c) for c in CATEGORIES])
+    # one column per factor, then averages in a fixed order: equal inputs give bit-equal scores, so ties stay ties
+    wide = ranked.unionByName(marks).groupBy("symbol", "as_of").agg(*[F.max(F.when(F.col("measure") == f, F.col("pct"))).alias(f) for f in category_of])
+    means = [mean_present([F.col(f) for f in fs if f in measures]) * 100 if set(fs) & set(measures) else F.lit(None).cast("double") for fs in CATEGORIES.values()]
+    out = wide.select("symbol", "as_of", *[m.alias(c) for m, c in zip(means, CATEGORIES)])
     return out.withColumn("total", mean_present([F.col(c) for c in CATEGORIES]))
 
 

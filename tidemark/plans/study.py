@@ -135,10 +135,10 @@ def rec_table(lake: Lake) -> DataFrame:
 _FWD = [f"{p}_{n}" for p in ("ret", "spy", "excess") for n in _H]
 
 
-@query("Q5 J10", f"SELECT rec_date, symbol, action, entry_date, round(entry_close, 8) AS entry_close, round(entry_adj, 8) AS entry_adj, {r(_FWD)} FROM recs", name="recommendations")
+@query("Q5 J10", f"SELECT rec_date, symbol, action, entry_date, round(entry_close, 10) AS entry_close, round(entry_adj, 10) AS entry_adj, {r(_FWD)} FROM recs", name="recommendations")
 def recommendations_query(lake: Lake) -> DataFrame:
     out = recommendations(lake).select("rec_date", "symbol", "action", "entry_date", "entry_close", "entry_adj", *_FWD)
-    return rounded(out.withColumn("entry_close", F.round("entry_close", 8)).withColumn("entry_adj", F.round("entry_adj", 8)), keep=("entry_close", "entry_adj"))
+    return rounded(out.withColumn("entry_close", F.round("entry_close", 10)).withColumn("entry_adj", F.round("entry_adj", 10)), keep=("entry_close", "entry_adj"))
 
 
 @query("P15", "SELECT rec_date, symbol, action, excess_365d > 0 AS beat_spy_365d FROM recs")
@@ -350,14 +350,14 @@ from tidemark.plans.market import _RATIO_SQL  # noqa: E402
 
 
 @query("Q10 A7 J11 J13", f"""
-SELECT symbol, as_of AS rec_date, {r(fx.FUNDAMENTAL_FACTORS)}, round(market_cap, 2) AS market_cap, CAST(filing_age_days AS BIGINT) AS filing_age_days FROM (
+SELECT symbol, as_of AS rec_date, {r(fx.FUNDAMENTAL_FACTORS)}, round(market_cap, 8) AS market_cap, CAST(filing_age_days AS BIGINT) AS filing_age_days FROM (
 SELECT p.symbol, p.as_of, {_RATIO_SQL.replace("ttm_rows", "pair_ttm")}, price * b_shares AS market_cap, p.as_of - known_filed AS filing_age_days FROM pair_price p
 LEFT JOIN pair_ttm t USING (symbol, as_of) LEFT JOIN pair_fy f USING (symbol, as_of) LEFT JOIN pair_prior USING (symbol, as_of) LEFT JOIN pair_balance USING (symbol, as_of))
 """)
 def pit_fundamentals_for_pairs(lake: Lake) -> DataFrame:
     p = staged(merged(lake).where("action = 'BUY'").select("symbol", "rec_date").distinct(), "pairs")
     out = fx.fundamentals_for_pairs(p, financial_table(lake), lake.bar_table, lake.splits)
-    out = out.withColumn("filing_age_days", F.col("filing_age_days").cast("long")).withColumn("market_cap", F.round("market_cap", 2))
+    out = out.withColumn("filing_age_days", F.col("filing_age_days").cast("long")).withColumn("market_cap", F.round("market_cap", 8))
     return rounded(out, keep=("market_cap",))
 
 
