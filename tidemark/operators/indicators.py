@@ -28,7 +28,7 @@ def _ohlcv(order: str = "ts", has_bars: bool = True) -> list[Column]:
 
 def intraday_window(minutes: int, ts: str = "ts") -> Column:
     """Tumbling bins anchored at 09:30. The offset is taken from midnight, so it folds into one bin."""
-    return F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes", f"{minutes} minutes", f"{OPEN_MINUTE % minutes} minutes")
+    return F.window(F.col(ts), f"{minutes} minutes", f"{minutes} minutes", f"{OPEN_MINUTE % minutes} minutes")
 
 
 def bars_from_ticks(ticks: DataFrame, minutes: int) -> DataFrame:

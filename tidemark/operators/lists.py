@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import output_date, output_number
 from tidemark.operators.scoring import CATEGORIES, SCORE_COLUMNS
@@ -89,7 +89,7 @@ def price_history(bars: DataFrame, n: int = PRICE_DAYS) -> DataFrame:
 
 def score_history(scores: DataFrame) -> DataFrame:
     packed = scores.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("as_of", *SCORE_COLUMNS))).alias("b"))
-    series = [F.transform("b", lambda x, c=c: output_number(x[c])).alias(c) for c in SCORE_COLUMNS]
+    series = [F.transform(F.col(f"b.{c}"), output_number).alias(c) for c in SCORE_COLUMNS]
     return packed.select("symbol", F.struct(F.transform("b", lambda x: output_date(x["as_of"])).alias("as_of"), *series).alias("score_history"))
 
 
@@ -164,6 +164,3 @@ def one_hot(df: DataFrame, column: str, keys: Sequence[str], min_rows: int = 30)
     kept = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     return df.select(*keys, column).join(kept, column, "left").select(*keys, F.when(F.col("_n").isNotNull(), F.col(column)).alias(column))
 
-
-def hist(col: Column) -> Column:
-    return output_number(col)

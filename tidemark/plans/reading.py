@@ -153,7 +153,7 @@ def passage_retrieval(lake: Lake) -> DataFrame:
 
 # --- questions -------------------------------------------------------------------------------------
 define("questions", "SELECT conv_id * 1000 + turn AS question_id, upper(regexp_replace(text, '[^ -~]', ' ', 'g')) AS question, text FROM conversations WHERE role = 'user'")
-define("known_words", "SELECT DISTINCT symbol FROM (SELECT unnest(regexp_extract_all(upper(text), '[A-Z]+')) AS symbol FROM benchmark) WHERE length(symbol) BETWEEN 3 AND 5")
+define("known_words", "SELECT DISTINCT symbol FROM (SELECT unnest(regexp_extract_all(upper(regexp_replace(text, '[^ -~]', ' ', 'g')), '[A-Z]+')) AS symbol FROM benchmark) WHERE length(symbol) BETWEEN 3 AND 5")
 
 
 def questions(lake: Lake) -> DataFrame:
@@ -162,7 +162,7 @@ def questions(lake: Lake) -> DataFrame:
 
 
 def known_words(lake: Lake) -> DataFrame:
-    words = lake.table("benchmark").select(F.explode(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z]+"), F.lit(0))).alias("symbol"))
+    words = lake.table("benchmark").select(F.explode(F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^ -~]", " ")), F.lit("[A-Z]+"), F.lit(0))).alias("symbol"))
     return words.where("length(symbol) between 3 and 5").distinct()
 
 

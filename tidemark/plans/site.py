@@ -1,7 +1,7 @@
 """Lists, movers, pages, documents, upserts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import output_date, output_number
 from tidemark.operators import facts as fx, lists as ls, scoring as sc, spells as sp
@@ -150,8 +150,9 @@ def symbol_documents(lake: Lake) -> DataFrame:
     """One JSON document per scored symbol."""
     bars = lake.bar_table
     panel, scored = staged(price_panel(lake).drop("close"), "metrics"), score_table(lake)
-    # event types stand in for symbols in the tick data: map them onto suppliers for the snapshots
-    snaps = snapshots(lake).withColumn("symbol", F.concat(F.lit("S"), (F.length("symbol")).cast("string")))
+    # event types stand in for symbols in the tick data: the n-th type in name order becomes supplier n
+    kinds = lake.ticks.select("symbol").distinct().select(F.col("symbol").alias("kind"), F.concat(F.lit("S"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol")).cast("string")).alias("symbol"))
+    snaps = snapshots(lake).withColumnRenamed("symbol", "kind").join(kinds, "kind").drop("kind")
     docs = ls.symbol_documents(lake.universe, bars, scored, panel, snaps)
     return docs.select("symbol", F.to_json(F.struct(*[c for c in docs.columns if c != "symbol"]), {"ignoreNullFields": "false"}).alias("document"))
 

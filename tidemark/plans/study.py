@@ -350,15 +350,15 @@ from tidemark.plans.market import _RATIO_SQL  # noqa: E402
 
 
 @query("Q10 A7 J11 J13", f"""
-SELECT symbol, as_of AS rec_date, {r(fx.FUNDAMENTAL_FACTORS)}, round(market_cap, 8) AS market_cap, CAST(filing_age_days AS BIGINT) AS filing_age_days FROM (
+SELECT symbol, as_of AS rec_date, {r(fx.FUNDAMENTAL_FACTORS)}, round(log10(market_cap), 6) AS log_market_cap, CAST(filing_age_days AS BIGINT) AS filing_age_days FROM (
 SELECT p.symbol, p.as_of, {_RATIO_SQL.replace("ttm_rows", "pair_ttm")}, price * b_shares AS market_cap, p.as_of - known_filed AS filing_age_days FROM pair_price p
 LEFT JOIN pair_ttm t USING (symbol, as_of) LEFT JOIN pair_fy f USING (symbol, as_of) LEFT JOIN pair_prior USING (symbol, as_of) LEFT JOIN pair_balance USING (symbol, as_of))
 """)
 def pit_fundamentals_for_pairs(lake: Lake) -> DataFrame:
     p = staged(merged(lake).where("action = 'BUY'").select("symbol", "rec_date").distinct(), "pairs")
     out = fx.fundamentals_for_pairs(p, financial_table(lake), lake.bar_table, lake.splits)
-    out = out.withColumn("filing_age_days", F.col("filing_age_days").cast("long")).withColumn("market_cap", F.round("market_cap", 8))
-    return rounded(out, keep=("market_cap",))
+    out = out.withColumn("filing_age_days", F.col("filing_age_days").cast("long")).withColumn("log_market_cap", F.log10("market_cap")).drop("market_cap")
+    return rounded(out)
 
 
 # --- training table --------------------------------------------------------------------------------
