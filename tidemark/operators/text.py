@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.sources.text_files import unescape_common
+from tidemark.staging import staged
 
 # fixed values: kept sections per form, chunk sizes, headings, block tags
 KEPT_ITEMS = {"10-K": ["1", "1A", "7", "7A"], "10-Q": ["2", "1A"]}
@@ -93,30 +94,41 @@ def singular(word: Column) -> Column:
 
 
 def _counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None) -> DataFrame:
-    return df.select("symbol", key, F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("symbol", key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(symbol, key, term, tf). Words are exploded first: the stop-word test is then one hash lookup inside
+    generated code, and counting starts map-side."""
+    stop = default_stop_words() if stop_words is None else list(stop_words)
+    words = df.select("symbol", key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    kept = words.where(~F.col("w").isin(stop)) if stop else words
+    return kept.select("symbol", key, singular(F.col("w")).alias("term")).groupBy("symbol", key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, salts: int = 16, stop_words: Sequence[str] | None = None) -> DataFrame:
+CHUNKS_PER_SALT = 100_000
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, salts: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
     """Top-k chunks per query within the query's own symbol, by cosine of sublinear TF-IDF vectors.
 
     chunks: symbol, chunk_id, text. queries: symbol, query_id, query. Words are counted per chunk map-side.
     A frequent word of a dominant symbol would make one huge join key, so the (symbol, word) statistics are
-    replicated over `salts` and the chunk side picks its salt by chunk.
+    replicated over as many salts as the largest symbol needs and the chunk side picks its salt by chunk.
     """
-    tf = _counts(chunks, "chunk_id", "text", stop_words).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    tf = staged(_counts(chunks, "chunk_id", "text", stop_words), "words")
     n = chunks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    if salts is None:
+        largest = n.agg(F.max("n")).first()[0] or 1  # one number
+        salts = -(-largest // CHUNKS_PER_SALT)
     df = tf.groupBy("symbol", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "symbol")
     idf = df.select("symbol", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = _counts(queries, "query_id", "query", stop_words).join(idf, ["symbol", "term"])  # unknown words drop out
-    asked = asked.withColumn("q", (1 + F.log("tf")) * F.col("idf"))
+    asked = staged(asked.select("symbol", "query_id", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("q")), "asked")
     norms = asked.groupBy("symbol", "query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    # per word: its idf and the queries that use it, so one join serves norms and products
-    per_word = asked.groupBy("symbol", "term").agg(F.collect_list(F.struct("query_id", "q")).alias("users"))
-    stats = idf.join(per_word, ["symbol", "term"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    weighted = tf.join(stats, ["symbol", "term", "salt"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = tf.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    key = ["symbol", "term", "salt"]
+    weighted = salted.join(spread(idf), key).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     length = weighted.groupBy("symbol", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = weighted.where("users is not null").select("symbol", "chunk_id", "w", F.explode("users").alias("u"))
-    dots = hits.groupBy("symbol", "chunk_id", F.col("u.query_id").alias("query_id")).agg(F.sum(F.col("w") * F.col("u.q")).alias("dot"))
+    hits = salted.join(spread(asked), key).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    dots = hits.groupBy("symbol", "chunk_id", "query_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
     scored = dots.join(length, ["symbol", "chunk_id"]).join(norms, ["symbol", "query_id"])
     scored = scored.withColumn("score", F.col("dot") / (F.col("norm") * F.col("q_norm"))).where("score > 0")
     top = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
