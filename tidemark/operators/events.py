@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import cap_bucket, lookup
 from tidemark.operators.asof import asof_join
-from tidemark.operators.ranks import quantiles, unpivot
+from tidemark.operators.ranks import quantiles, running_totals, unpivot
+from tidemark.staging import staged
 
 # fixed values: former ticker -> current ticker; dated corrections; snapshot day of the sheet; horizons
 ALIASES = {"FB": "META", "SQ": "XYZ", "WETF": "WT", "FEYE": "MNDT", "NCR": "VYX", "SPB": "JEF", "SINA": "WB", "GOOGL": "GOOG"}
@@ -16,6 +17,7 @@ SHEET_SNAPSHOT = "2020-04-08"
 HORIZONS = {"30d": 30, "90d": 90, "180d": 180, "365d": 365}
 MAX_GAP_DAYS = 5
 CONTROLS_PER_PICK, CONTROL_HISTORY_DAYS, SEED = 10, 400, 7
+SYMBOLS_PER_SLICE = 256
 KEYS = ["rec_date", "symbol", "action"]
 
 
@@ -107,18 +109,31 @@ def sample_controls(picks: DataFrame, bars: DataFrame, per_pick: int = CONTROLS_
     """Date-matched controls: per pick date, up to `per_pick` times the picks, drawn without replacement
     from symbols with 400 days of history that still trade and are not picked that day.
 
-    The draw is the n smallest of a keyed hash, so it is repeatable and needs no driver state. Per date a
-    min-n aggregation (the window keeps n rows per task before the shuffle) bounds what one task sees.
+    The draw walks a hash ring: symbols sit at fixed pseudo-random places, every date starts somewhere
+    else and takes the first free symbols alive on it. Counts per (ring slice, date) come from +1/-1 steps,
+    so a date is joined only with the few slices it needs, never with every symbol. Repeatable, and exactly
+    min(free, wanted) rows per date.
     """
-    spans = bars.where(F.col("symbol") != index).groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    dates = picks.groupBy("rec_date").agg(F.count(F.lit(1)).alias("_n"))
+    spans = bars.where(F.col("symbol") != index).groupBy("symbol").agg(F.date_add(F.min("date"), CONTROL_HISTORY_DAYS).alias("first"), F.max("date").alias("last")).where("first <= last")
+    spans = staged(spans.withColumn("place", F.xxhash64(F.lit(seed), "symbol")), "spans")
+    slices = min(max(spans.count() // SYMBOLS_PER_SLICE, 1), 1 << 16)  # one number
+    spans = spans.withColumn("slice", F.pmod("place", F.lit(slices)))
     taken = picks.select("rec_date", "symbol").union(picks.select("rec_date", F.col("yf_symbol"))).distinct()
-    # dates are days of a calendar and reach every symbol alive on them: the pairs are the candidate set itself
-    alive = spans.join(dates, (F.date_add("first", CONTROL_HISTORY_DAYS) <= F.col("rec_date")) & (F.col("last") >= F.col("rec_date")))
-    free = alive.join(taken, ["rec_date", "symbol"], "left_anti")
-    draw = F.xxhash64(F.lit(seed), F.col("rec_date"), F.col("symbol"))
-    w = Window.partitionBy("rec_date").orderBy(draw, "symbol")
-    most = free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_n") * per_pick)
+    dates = picks.groupBy("rec_date").agg((F.count(F.lit(1)) * per_pick).alias("_n"))
+    dates = dates.join(taken.groupBy("rec_date").agg(F.count(F.lit(1)).alias("_taken")), "rec_date")
+    steps = spans.select("slice", F.col("first").alias("_d"), F.lit(1).alias("_step")).unionByName(spans.select("slice", F.date_add("last", 1).alias("_d"), F.lit(-1).alias("_step")))
+    daily = steps.groupBy("slice", "_d").agg(F.sum("_step").alias("_step"))
+    asked = dates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.col("rec_date").alias("_d"), "_n", "_taken")
+    line = daily.withColumn("_n", F.lit(None).cast("long")).withColumn("_taken", F.lit(None).cast("long")).unionByName(asked.withColumn("_step", F.lit(0).cast("long")))
+    upto = Window.partitionBy("slice").orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # calendar days of one slice
+    alive = line.select("slice", F.col("_d").alias("rec_date"), "_n", "_taken", F.sum("_step").over(upto).alias("_alive")).where("_n is not null")
+    turn = F.pmod(F.col("slice") - F.xxhash64(F.lit(seed), "rec_date"), F.lit(slices))
+    ring = Window.partitionBy("rec_date").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)  # slices of one date
+    needed = alive.withColumn("_turn", turn).withColumn("_before", F.coalesce(F.sum("_alive").over(ring), F.lit(0))).where(F.col("_before") < F.col("_n") + F.col("_taken"))
+    near = needed.where("_alive > 0").select("rec_date", "slice", "_n", "_turn").join(spans, "slice").where("first <= rec_date and rec_date <= last")
+    free = near.join(taken, ["rec_date", "symbol"], "left_anti")
+    w = Window.partitionBy("rec_date").orderBy("_turn", "place", "symbol")  # the slices taken hold little more than _n rows
+    most = free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_n"))
     return most.select("rec_date", "symbol", F.col("symbol").alias("yf_symbol"))
 
 
@@ -216,29 +231,28 @@ def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def concentration(df: DataFrame, value: str, k: int = 10) -> DataFrame:
     """Share of the k largest in the sum of positives."""
-    top = df.where(F.col(value).isNotNull()).select(value).orderBy(F.col(value).desc()).limit(k).agg(F.sum(value).alias("_top"))
-    whole = df.agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("_all"), F.count(value).alias("n"))
-    return whole.join(top).select("n", (F.col("_top") / F.col("_all")).alias("top_share"))
+    top = df.where(F.col(value).isNotNull()).select(value).orderBy(F.col(value).desc()).limit(k).agg(F.sum(value))
+    return df.agg(F.count(value).alias("n"), F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("_all")).select("n", (top.scalar() / F.col("_all")).alias("top_share"))
 
 
-def trimmed_mean(df: DataFrame, rank_by: str, value: str, share: float = 0.01, keys: Sequence[str] = ("rec_date", "symbol")) -> DataFrame:
-    """Mean of `value` with and without the max(1, floor(share n)) rows of the largest `rank_by`: the dropped
-    rows are those above a cut found from counts per distinct value, ties at the cut broken by the keys."""
-    from tidemark.operators.ranks import running_totals
-
-    rows = df.where(F.col(rank_by).isNotNull())
-    t = running_totals(rows, [], rank_by, {"n": F.count(F.lit(1))})
+def trimmed_mean(df: DataFrame, rank_by: str, value: str, share: float = 0.01, date: str = "rec_date", tie: str = "symbol") -> DataFrame:
+    """Mean of `value` with and without the max(1, floor(share n)) rows of the largest `rank_by`; ties at the
+    cut go by date, then `tie`. The cut is found from counts per distinct value, then per date inside the
+    tied value, so even a tie that holds a third of all rows is never sorted as one group."""
+    rows = df.where(F.col(rank_by).isNotNull()).withColumn("_day", F.datediff(date, F.to_date(F.lit("1970-01-01"))).cast("double"))
     k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_total") * F.lit(share)).cast("long"))
     above = F.col("n_total") - F.col("n_before") - F.col("n")  # rows with a larger value
-    marked = t.select(F.col(rank_by).alias("_v"), "n", (k - above).alias("_room"))
-    tied = marked.where("_room > 0 and _room < n").select(F.col("_v").alias("_c"), "_room")
-    w = Window.partitionBy(rank_by).orderBy(*keys)
-    in_tie = rows.join(tied, F.col(rank_by) == F.col("_c")).withColumn("_k", F.row_number().over(w)).where("_k <= _room").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    whole_cells = rows.join(marked.where("_room >= n"), F.col(rank_by) == F.col("_v")).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    dropped = in_tie.unionByName(whole_cells).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("_s"), F.sum("c").alias("_c"))
-    return rows.agg(F.sum(value).alias("_all"), F.count(value).alias("_n")).join(dropped).select(
-        (F.col("_all") / F.col("_n")).alias("mean_all"), ((F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("_c"))).alias("mean_trimmed"), F.col("_c").alias("dropped"),
-    )
+    marked = running_totals(rows, [], rank_by, {"n": F.count(F.lit(1))}).select(rank_by, "n", (k - above).alias("_room"))
+    whole = rows.join(marked.where("_room >= n").select(rank_by), rank_by)
+    tied = rows.join(marked.where("_room > 0 and _room < n").select(rank_by, "_room"), rank_by)
+    by_day = running_totals(tied, [rank_by, "_room"], "_day", {"n": F.count(F.lit(1))}).where("n_before < _room").select(rank_by, "_day", (F.col("_room") - F.col("n_before")).alias("_left"))
+    w = Window.partitionBy(rank_by, "_day").orderBy(tie)  # one day's rows of one value
+    cut = tied.join(by_day, [rank_by, "_day"]).withColumn("_k", F.row_number().over(w)).where("_k <= _left")
+    part = lambda d, sign: d.agg(F.sum(value).alias("s"), F.count(value).alias("c")).withColumn("sign", F.lit(sign))
+    parts = part(rows, 1).unionByName(part(whole, -1)).unionByName(part(cut, -1))
+    all_s, all_c = (F.sum(F.when(F.col("sign") == 1, F.col(c))) for c in ("s", "c"))
+    rest_s, rest_c = (F.sum(F.col("sign") * F.col(c)) for c in ("s", "c"))
+    return parts.agg((all_s / all_c).alias("mean_all"), (rest_s / rest_c).alias("mean_trimmed"), (all_c - rest_c).alias("dropped"))
 
 
 def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -139,7 +139,8 @@ def compare_models(df: DataFrame, feature_sets: dict[str, Sequence[str]], keys:
                 scored = fitted.transform(held.fillna(-1e6, subset=list(features)))
             scored = staged(scored.select(*keys, cohort, "split", "y", _probability()), "scored")
             quality = roc_auc(scored, ["split"], "y", "p").join(average_precision(scored, ["split"], "y", "p"), "split")
-            quality = quality.join(top_decile_recall(scored, cohort, "y", "p", keys[0], ["split"]), "split", "left")
+            ranked = scored.withColumn("_id", F.pmod(F.xxhash64(*keys), F.lit(1 << 52)))
+            quality = quality.join(top_decile_recall(ranked, cohort, "y", "p", "_id", ["split"]), "split", "left")
             results.append(quality.select(F.lit(name).alias("features"), F.lit(kind).alias("model"), "*"))
     out = results[0]
     for q in results[1:]:

@@ -17,9 +17,8 @@ def latest_per_symbol(df: DataFrame, time: str = "as_of") -> DataFrame:
 
 
 def fresh(latest: DataFrame, days: int = STALE_DAYS, time: str = "as_of") -> DataFrame:
-    """Rows at most `days` older than the newest of all; one-row side, joined by range."""
-    newest = latest.agg(F.date_sub(F.max(time), days).alias("_cut"))
-    return latest.join(newest, F.col(time) >= F.col("_cut")).drop("_cut")
+    """Rows at most `days` older than the newest of all (a scalar subquery)."""
+    return latest.where(F.col(time) >= latest.agg(F.date_sub(F.max(time), days)).scalar())
 
 
 def with_row_change(scores: DataFrame, column: str = "total", rows: int = DELTA_ROWS) -> DataFrame:
@@ -64,8 +63,8 @@ def ranking(latest: DataFrame, category: str, n: int = 10) -> DataFrame:
     if category not in latest.columns:
         category = "total"
     rows = fresh(latest)
-    known = rows.agg((F.count(category) > 0).alias("_known"))
-    keyed = rows.join(known).withColumn("_v", F.when(F.col("_known"), F.col(category)).otherwise(F.col("total"))).where("_v is not null")
+    known = rows.agg(F.count(category) > 0).scalar()
+    keyed = rows.withColumn("_v", F.when(known, F.col(category)).otherwise(F.col("total"))).where("_v is not null")
     return keyed.orderBy(F.col("_v").desc(), "symbol").limit(n).select("symbol", *[F.round(c).cast("int").alias(c) for c in SCORE_COLUMNS])
 
 
