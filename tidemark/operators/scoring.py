@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import count_present, mean_present
-from tidemark.operators.ranks import percentiles_long
+from tidemark.operators.asof import asof_join
+from tidemark.operators.ranks import percentiles, percentiles_long, quantiles
+from tidemark.staging import staged
 
 # fixed values: factor -> True when a higher value is better
 CATEGORIES: dict[str, dict[str, bool]] = {
@@ -42,3 +44,33 @@ def enough_categories(scores: DataFrame, at_least: int = MIN_CATEGORY_SCORES) ->
 
 def with_model_scores(scores: DataFrame, ml_scores: DataFrame) -> DataFrame:
     return scores.join(ml_scores, ["symbol", "as_of"], "left")
+
+
+APP_COLUMNS = [*[f"app_{c}" for c in SCORE_COLUMNS], "app_total_pct", "app_ml_pct"]
+
+
+def attach_scores(probes: DataFrame, scores: DataFrame, ml_scores: DataFrame | None = None, *, date: str = "rec_date", tolerance_days: int = 62, unique: bool = False) -> DataFrame:
+    """`probes` plus our own ranking as of the last score date strictly before `date`, at most 62 days old:
+    category scores, total, and the percentiles of total and model score within that date's universe."""
+    table = with_model_scores(scores, ml_scores) if ml_scores is not None else scores.withColumn("ml_score", F.lit(None).cast("double"))
+    table = staged(table.select("symbol", "as_of", *SCORE_COLUMNS, "ml_score"), "scores")
+    pct = percentiles(table, ["symbol"], ["as_of"], {"total": True, "ml_score": True}, "_pct")
+    full = table.join(pct, ["symbol", "as_of"], "left").select(
+        "symbol", "as_of", *[F.col(c).alias(f"app_{c}") for c in SCORE_COLUMNS], F.col("total_pct").alias("app_total_pct"), F.col("ml_score_pct").alias("app_ml_pct"))
+    return asof_join(probes, full, ["symbol"], date, "as_of", APP_COLUMNS, strict=True, tolerance_days=tolerance_days, unique_left=unique)
+
+
+def position_by(df: DataFrame, by: str, pct: str = "app_total_pct", medians: tuple[str, ...] = ("app_total_pct",)) -> DataFrame:
+    """Where the ranking put the rows of each class: medians and shares in its top quartile and decile."""
+    known = df.where(F.col(pct).isNotNull())
+    out = known.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col(pct) >= 0.75).cast("double")).alias("share_top_quartile"), F.avg((F.col(pct) >= 0.9).cast("double")).alias("share_top_decile"))
+    for m in medians:
+        out = out.join(quantiles(known, [by], m, {f"med_{m}": 0.5}), by, "left")
+    return out
+
+
+def outcome_by_half(df: DataFrame, pct: str = "app_total_pct", outcome: str = "excess_365d") -> DataFrame:
+    """Median outcome of the upper and the lower half of the ranking."""
+    known = df.where(F.col(pct).isNotNull() & F.col(outcome).isNotNull()).withColumn("half", F.when(F.col(pct) >= 0.5, "top").otherwise("bottom"))
+    return known.groupBy("half").agg(F.count(F.lit(1)).alias("n")).join(quantiles(known, ["half"], outcome, {"median": 0.5}), "half")

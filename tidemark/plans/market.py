@@ -197,7 +197,7 @@ def financials(lake: Lake) -> DataFrame:
 
 # naive form: for every probe date, everything filed before it
 define("panel_probes", """
-SELECT symbol, as_of, close * coalesce((SELECT product(ratio) FROM split_table s WHERE s.symbol = m.symbol AND s.date > m.as_of), 1) AS price FROM month_rows m
+SELECT symbol, as_of, close * coalesce((SELECT product(ratio) FROM split_table s WHERE s.symbol = m.symbol AND s.date > m.date), 1) AS price FROM month_rows m
 """)
 define("known_rows", "SELECT p.symbol, p.as_of, f.* EXCLUDE (symbol) FROM panel_probes p JOIN financials f ON f.symbol = p.symbol AND f.filed < p.as_of")
 _ALLC = fx.STATEMENT_COLUMNS + ["free_cash_flow"]

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import lists as ls, scoring as sc, text as tx
+from tidemark.operators import grounding as gr, lists as ls, scoring as sc, text as tx
 from tidemark.plans.cte import define
-from tidemark.plans.market import price_scores
+from tidemark.plans.market import price_panel, price_scores
 from tidemark.plans.registry import query, r, rounded
 from tidemark.plans.standins import Lake
 from tidemark.sources import lake as lk, text_files as tf
@@ -230,4 +230,20 @@ def question_context(lake: Lake) -> DataFrame:
     return rounded(out.select("question_id", F.when(F.col("symbol").isNull(), "ranking").otherwise("symbol").alias("route"), "symbol", "as_of", "total", "excerpts"))
 
 
-_ = (sc, staged, r)
+@query("X12 full")
+def grounded_questions(lake: Lake) -> DataFrame:
+    """The whole grounding row per question: two questions in three name the supplier of their own number."""
+    # numbers become capital-letter symbols, Z then the number in base 26 letters
+    code = lambda n: F.concat(F.lit("Z"), F.translate(F.upper(F.conv(n.cast("string"), 10, 26)), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    last = tx.last_user_message(lake.table("conversations")).where("question <> ''")
+    asked = last.select(F.col("conv_id").alias("question_id"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("About "), code(F.col("conv_id")), F.lit(": "), F.lower("question"))).otherwise(F.col("question")).alias("question"))
+    of_source = code(F.regexp_extract("symbol", r"(\d+)$", 1))
+    of_supplier = lambda d: d.withColumn("symbol", code(F.substring("symbol", 2, 20)))
+    panel = staged(price_panel(lake).drop("close"), "metrics")
+    news = tf.clean_news(lake.raw_news).withColumn("symbol", of_source)
+    chunks = lake.table("documents").select(F.col("source").alias("symbol"), F.col("doc_id").alias("chunk_id"), "text").withColumn("symbol", of_source)
+    out = gr.ground(asked, of_supplier(sc.score(panel)), of_supplier(panel), chunks, staged(news, "news"), F.to_timestamp(F.lit("2024-12-31 00:00:00")), stop_words=STOP)
+    return out.select("question_id", "route", "symbol", "category", F.size("excerpt_texts").alias("excerpts"), F.size("headlines").alias("headlines"), F.size("ranking").alias("ranked"), "upgrades", "scores.total")
+
+
+_ = r

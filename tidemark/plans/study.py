@@ -371,17 +371,13 @@ SELECT p.symbol, p.rec_date, CASE WHEN p.rec_date - s.as_of <= 62 THEN s.momentu
 
 
 def app_scores(lake: Lake, probes: DataFrame, unique: bool = True) -> DataFrame:
-    from tidemark.operators.asof import asof_join
-
-    table = staged(price_scores(lake), "scores")
-    pct = rk.percentiles(table, ["symbol"], ["as_of"], {"total": True})
-    full = table.join(pct, ["symbol", "as_of"], "left").select("symbol", "as_of", F.col("momentum").alias("app_momentum"), F.col("risk").alias("app_risk"), F.col("total").alias("app_total"), F.col("total_pct").alias("app_total_pct"))
-    return asof_join(probes, full, ["symbol"], "rec_date", "as_of", ["app_momentum", "app_risk", "app_total", "app_total_pct"], strict=True, tolerance_days=62, unique_left=unique)
+    return sc.attach_scores(probes, price_scores(lake), unique=unique)
 
 
 @query("J8 M6", f"SELECT symbol, rec_date, {r('app_momentum app_risk app_total app_total_pct')} FROM app_rows")
 def app_scores_at_pick(lake: Lake) -> DataFrame:
-    return rounded(app_scores(lake, merged(lake).where("action = 'BUY'").select("symbol", "rec_date").distinct()))
+    out = app_scores(lake, merged(lake).where("action = 'BUY'").select("symbol", "rec_date").distinct())
+    return rounded(out.select("symbol", "rec_date", "app_momentum", "app_risk", "app_total", "app_total_pct"))
 
 
 @query("M6 A28", """
@@ -392,9 +388,17 @@ FROM merged m JOIN app_rows a USING (symbol, rec_date) WHERE m.action = 'BUY' AN
 def rank_position(lake: Lake) -> DataFrame:
     """Where the ranking put first and repeated picks."""
     m = staged(merged(lake).where("action = 'BUY'").select("symbol", "rec_date", "is_repeat"), "picks")
-    a = staged(app_scores(lake, m).where("app_total_pct is not null").withColumnRenamed("is_repeat", "repeat"), "ranked")
-    base = a.groupBy("repeat").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("app_total_pct") >= 0.75).cast("double")).alias("share_top_quartile"), F.avg((F.col("app_total_pct") >= 0.9).cast("double")).alias("share_top_decile"))
-    return rounded(base.join(rk.quantiles(a, ["repeat"], "app_total_pct", {"med_pct": 0.5}), "repeat").join(rk.quantiles(a, ["repeat"], "app_momentum", {"med_momentum": 0.5}), "repeat"))
+    a = staged(app_scores(lake, m).withColumnRenamed("is_repeat", "repeat"), "ranked")
+    out = sc.position_by(a, "repeat", medians=("app_total_pct", "app_momentum"))
+    return rounded(out.withColumnRenamed("med_app_total_pct", "med_pct").withColumnRenamed("med_app_momentum", "med_momentum"))
+
+
+@query("A28 halves", """
+SELECT CASE WHEN app_total_pct >= 0.5 THEN 'top' ELSE 'bottom' END AS half, count(*) AS n, round(median(excess_365d), 6) AS median FROM buys JOIN app_rows USING (symbol, rec_date) WHERE app_total_pct IS NOT NULL AND excess_365d IS NOT NULL GROUP BY 1
+""")
+def outcome_by_half(lake: Lake) -> DataFrame:
+    labelled = buys(lake).select("symbol", "rec_date", "excess_365d").where("excess_365d is not null")
+    return rounded(sc.outcome_by_half(staged(app_scores(lake, labelled), "ranked")))
 
 
 @query("A13", """
