@@ -1 +1,7 @@
 """Point-in-time equity-panel analytics on Spark DataFrames."""
+import sys
+
+from pyspark import cloudpickle
+
+# the few functions that run in Python workers travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
