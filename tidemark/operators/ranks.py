@@ -16,8 +16,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.scalar import ratio
-
 BINS_PER_E_FOLD = 2048
 _SHIFT = 746 * BINS_PER_E_FOLD  # |ln| of the smallest positive double is below 746
 _MAX = 1.7976931348623157e308
@@ -73,24 +71,22 @@ def average_ranks(long: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def percentiles_long(df: DataFrame, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, bool]) -> DataFrame:
-    """(keys, by, measure, pct): average rank over the non-NULL count within `by`; `measures` maps a
-    column to True when higher is better. NULL values produce no row."""
-    long = unpivot(df, [*keys, *by], list(measures)).where("value is not null")
-    ranks = average_ranks(long, [*by, "measure"], "value")
-    falling = [m for m, up in measures.items() if not up]
-    rank = F.when(F.col("measure").isin(falling), F.col("rank_down")).otherwise(F.col("rank_up")) if falling else F.col("rank_up")
-    return long.join(ranks, [*by, "measure", "value"]).select(
-        *keys, *by, "measure", (rank / F.col("rank_count")).alias("pct")
-    )
+def percentile_rows(df: DataFrame, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, bool]) -> DataFrame:
+    """(keys, by, m, pct): average rank over the non-NULL count within `by`, m the position of the measure in
+    `measures`, which maps a column to True when higher is better. NULL values produce no row. Measures
+    travel as small numbers: they are part of every shuffle key here."""
+    pairs = ", ".join(f"{i}, cast(`{name}` as double)" for i, name in enumerate(measures))
+    long = df.select(*keys, *by, F.expr(f"stack({len(measures)}, {pairs}) as (m, value)")).where("value is not null")
+    ranks = average_ranks(long, [*by, "m"], "value")
+    falling = [i for i, up in enumerate(measures.values()) if not up]
+    rank = F.when(F.col("m").isin(falling), F.col("rank_down")).otherwise(F.col("rank_up")) if falling else F.col("rank_up")
+    return long.join(ranks, [*by, "m", "value"]).select(*keys, *by, "m", (rank / F.col("rank_count")).alias("pct"))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], by: Sequence[str], measures: Mapping[str, bool], suffix: str = "_pct") -> DataFrame:
     """The percentiles as columns next to (keys, by); rows without any non-NULL measure are absent."""
-    long = percentiles_long(df, keys, by, measures)
-    return long.groupBy(*keys, *by).agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("pct"))).alias(f"{m}{suffix}") for m in measures]
-    )
+    long = percentile_rows(df, keys, by, measures)
+    return long.groupBy(*keys, *by).agg(*[F.max(F.when(F.col("m") == i, F.col("pct"))).alias(f"{name}{suffix}") for i, name in enumerate(measures)])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
@@ -121,4 +117,4 @@ def spearman(df: DataFrame, by: Sequence[str], keys: Sequence[str], x: str, y: s
     )
 
 
-__all__ = ["order_bin", "running_totals", "unpivot", "average_ranks", "percentiles_long", "percentiles", "quantiles", "spearman", "ratio"]
+__all__ = ["order_bin", "running_totals", "unpivot", "average_ranks", "percentile_rows", "percentiles", "quantiles", "spearman"]
