@@ -43,10 +43,14 @@ def tune(spark: SparkSession) -> None:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables: the shared one named by the cluster in
-    `spark.checkpoint.dir`. Only where none is named (tests, one machine) is a local one made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    `spark.checkpoint.dir`. Only a single-process session (`local[n]`, as in tests), whose executor is the
+    driver, gets a folder of its own; on a cluster a missing setting is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
