@@ -2,19 +2,20 @@
 
 Bulk-synchronous best fit. Pieces and gaps are ordered by size, and every row holds a rank within its size. A round
 
-1. sweeps the sizes from the largest piece down, giving each size its successor: the smallest gaps, not yet used in
-   this round, that hold it (a gap takes as many equal pieces as fit);
-2. resolves conflicts by rank: row r of a piece size goes to row r of the gap size it was given;
-3. updates the gaps, writes them, and repeats until no piece is left. Where no gap holds a piece any longer, the
-   largest pieces open as many sequences as the remaining tokens need.
+1. sweeps the sizes from the largest piece down, giving each size its successors: the smallest gaps that hold it;
+2. resolves conflicts by rank: row r of a piece size goes to row r of the gaps it was given (a distributed join);
+3. updates the gaps, writes them, and repeats. Pieces that no gap holds open new sequences, the largest ones as many
+   as the remaining tokens need, before the next round.
 
 Only the number of rows per size reaches the driver: at most `capacity` of them, whatever the input. Rows are ranked
 within (size, input part) and part totals are summed, so no size is gathered in one task.
 """
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,33 +60,47 @@ def _ranked(df: DataFrame, size: str, part: str, order: list[str], out: str) ->
     return within.join(before.select(size, part, "_before"), [size, part]).withColumn(out, F.col("_r") - 1 + F.col("_before")).drop("_r", "_before")
 
 
-def sweep(waiting: np.ndarray, gaps: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """One successor sweep over counts by size: (piece size, pieces, gap size, first free gap of that size, pieces per gap).
+Run = tuple[int, int, int]  # gap size before the round, first rank within it, gaps
 
-    Pieces from the largest down take the smallest gaps that hold them; a gap is used by one size a round.
+
+def sweep(waiting: np.ndarray, gaps: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """One successor sweep over counts by size.
+
+    Pieces from the largest size down take the smallest gaps that hold them, as many equal pieces to a gap as fit; what
+    is left of a gap may serve a smaller size. Gaps of one size are handled as runs of ranks, so the work and the
+    returned lists grow with the number of sizes, not with rows. Returns the moves (piece size, first piece of it,
+    pieces, old gap size, first gap rank, pieces per gap, offset of the first) and the runs' new gaps (old gap size,
+    first rank, gaps, new gap).
     """
-    used, moves = np.zeros_like(gaps), []
-    nearest = np.arange(len(gaps) + 1)  # union-find to the next size with a free gap
+    capacity = len(gaps) - 1
+    runs: dict[int, list[Run]] = {g: [(g, 0, int(gaps[g]))] for g in np.flatnonzero(gaps).tolist()}
+    sizes, moves = sorted(runs), []
 
-    def find(g: int) -> int:
-        while nearest[g] != g:
-            nearest[g] = nearest[nearest[g]]
-            g = nearest[g]
-        return int(g)
+    def put(gap: int, run: Run) -> None:
+        if gap not in runs:
+            runs[gap] = []
+            bisect.insort(sizes, gap)
+        runs[gap].append(run)
 
-    for g in np.flatnonzero(gaps == 0):
-        nearest[g] = g + 1
     for size in np.flatnonzero(waiting)[::-1].tolist():
-        left = int(waiting[size])
-        while left and (g := find(size)) < len(gaps):
-            each, free = g // size, int(gaps[g] - used[g])
-            take = min(left, free * each)
-            moves.append((size, take, g, int(used[g]), each))
-            used[g] += -(-take // each)
-            left -= take
-            if used[g] == gaps[g]:
-                nearest[g] = g + 1
-    return moves
+        left, at = int(waiting[size]), 0
+        while left and (i := bisect.bisect_left(sizes, size)) < len(sizes):
+            gap = sizes[i]
+            old, first, n = runs[gap].pop()
+            if not runs[gap]:
+                del runs[gap], sizes[i]
+            each = gap // size
+            take = min(left, n * each)
+            full, rest = divmod(take, each)
+            moves.append((size, at, take, old, first, each, capacity - gap))
+            if full:
+                put(gap - each * size, (old, first, full))
+            if rest:
+                put(gap - rest * size, (old, first + full, 1))
+            if n > full + (rest > 0):
+                put(gap, (old, first + full + (rest > 0), n - full - (rest > 0)))
+            left, at = left - take, at + take
+    return moves, [(old, first, n, gap) for gap, found in runs.items() for old, first, n in found]
 
 
 def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -102,78 +117,64 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     discard(flat)
     waiting = np.zeros(capacity + 1, np.int64)
     for size, n in ranked.groupBy("length").count().collect():  # at most `capacity` rows
-        if not 1 <= size <= capacity:
+        if size is None or not 1 <= size <= capacity:
             raise ValueError(f"a length of {size} does not fit {capacity}")
         waiting[size] = n
     done = np.zeros(capacity + 1, np.int64)  # rows of each size that are placed, in rank order
     gap_counts, opened = np.zeros(capacity + 1, np.int64), 0
     gaps, placed = None, []
-    sizes = np.arange(capacity + 1)
-
-    def opening(need: int) -> list[tuple[int, int, int, int]]:
-        """(size, first rank, rows, first sequence) of the largest waiting pieces, which open `need` sequences."""
-        nonlocal opened
-        out = []
-        for size in np.flatnonzero(waiting)[::-1].tolist():
-            take = min(need, int(waiting[size]))
-            if take:
-                out.append((size, int(done[size]), take, opened))
-                done[size] += take
-                waiting[size] -= take
-                gap_counts[capacity - size] += take
-                opened, need = opened + take, need - take
-        return out
+
+    def table(rows: list[tuple], names: str) -> DataFrame:
+        """A round's moves or runs: as many as the sizes allow, whatever the number of rows."""
+        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split())))
+
+    def chosen(plan: DataFrame) -> DataFrame:
+        return ranked.join(plan, "length").where("_rank >= first_rank AND _rank < first_rank + take")
 
     while waiting.any():
-        moves = sweep(waiting, gap_counts) if gaps is not None else []
-        if moves:
-            rows = []
-            for size, take, gap, first, each in moves:
-                rows.append((size, int(done[size]), take, gap, first, each))
+        if gaps is not None:  # match
+            moves, runs = sweep(waiting, gap_counts)
+            rows = [(size, int(done[size]) + at, take, old, first, each, used) for size, at, take, old, first, each, used in moves]
+            for size, _, take, *_ in moves:
                 done[size] += take
                 waiting[size] -= take
-                full, rest = divmod(take, each)
-                gap_counts[gap] -= full + (rest > 0)
-                gap_counts[gap - each * size] += full
-                if rest:
-                    gap_counts[gap - rest * size] += 1
-            plan = spark.createDataFrame(rows, "length long, first_rank long, take long, gap long, first_gap long, each long")
-            # at most two rows per size, so at most 2 * capacity in all: small whatever the input
-            plan = F.broadcast(plan)
-            given = ranked.join(plan, "length").where("_rank >= first_rank AND _rank < first_rank + take").withColumn("gap_rank", F.expr("first_gap + (_rank - first_rank) div each"))
             free = staged(_ranked(gaps.withColumn("_part", F.expr("sequence_id % 256")), "gap", "_part", ["sequence_id"], "gap_rank").drop("_part"), "free-gaps")
-            fitted = given.join(free, ["gap", "gap_rank"]).withColumn("offset", F.expr(f"{capacity} - gap + (_rank - first_rank) % each * length"))
-            placed.append(staged(fitted.select(*columns, "sequence_id", "offset"), "placed"))
-            uses = plan.selectExpr("gap", "first_gap", "length", "take", "each", "first_gap + (take + each - 1) div each AS end_gap")
-            taken = free.join(uses, "gap", "left").where("first_gap IS NULL OR gap_rank >= first_gap AND gap_rank < end_gap")
-            changed = taken.where("first_gap IS NOT NULL").selectExpr("sequence_id", "gap - length * least(each, take - (gap_rank - first_gap) * each) AS gap")
-            # a gap size is used from its first row on; what lies beyond the last use keeps its gap
-            top: dict[int, int] = {}
-            for _, take, gap, first, each in moves:
-                top[gap] = max(top.get(gap, 0), first + -(-take // each))
-            beyond = F.broadcast(spark.createDataFrame(list(top.items()), "gap long, used long"))  # bounded like the plan
-            kept = free.join(beyond, "gap", "left").where("used IS NULL OR gap_rank >= used").select("sequence_id", "gap")
-            after = staged(changed.where("gap > 0").unionByName(kept), "gaps")
-            discard(free, gaps)
-            gaps = after
-        else:
-            tokens = int((waiting * sizes).sum())
-            need = -(-tokens // capacity)
+            if rows:
+                given = chosen(table(rows, "length first_rank take gap first_gap each used")).withColumn("gap_rank", F.expr("first_gap + (_rank - first_rank) div each"))
+                placed.append(staged(given.join(free, ["gap", "gap_rank"]).withColumn("offset", F.expr("used + (_rank - first_rank) % each * length")).select(*columns, "sequence_id", "offset"), "placed"))
+            gap_counts[:] = 0
+            for _, _, n, gap in runs:
+                gap_counts[gap] += n
+            if waiting.any():
+                now = free.join(table(runs, "gap first_gap n left"), "gap").where("gap_rank >= first_gap AND gap_rank < first_gap + n AND left > 0")
+                fresh = staged(now.select("sequence_id", F.col("left").alias("gap")), "gaps")
+                discard(gaps)
+                gaps = fresh
+            discard(free)
+            gap_counts[0] = 0
+        if waiting.any():  # open
+            need = -(-int(waiting @ np.arange(capacity + 1)) // capacity)
             if gaps is None:
                 need = max(need, int(waiting[capacity // 2 + 1:].sum()))
-            runs = F.broadcast(spark.createDataFrame(opening(need), "length long, first_rank long, take long, first_sequence long"))  # a row per size
-            new = staged(ranked.join(runs, "length").where("_rank >= first_rank AND _rank < first_rank + take")
-                         .withColumn("sequence_id", F.expr("first_sequence + _rank - first_rank")).withColumn("offset", F.lit(0).cast("long")).select(*columns, "sequence_id", "offset"), "opened")
-            placed.append(new)
-            fresh = new.select("sequence_id", F.expr(f"{capacity} - length").alias("gap")).where("gap > 0")
-            gaps = fresh if gaps is None else gaps.unionByName(fresh)
-            kept_gaps = staged(gaps, "gaps")
-            gaps = kept_gaps
-        gap_counts[0] = 0
-    out = ranked.limit(0).select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for table in placed:
-        out = table if table is placed[0] else out.unionByName(table)
-    return out
+            rows = []
+            for size in np.flatnonzero(waiting)[::-1].tolist():
+                if take := min(need, int(waiting[size])):
+                    rows.append((size, int(done[size]), take, opened))
+                    done[size] += take
+                    waiting[size] -= take
+                    gap_counts[capacity - size] += take
+                    opened, need = opened + take, need - take
+            gap_counts[0] = 0
+            new = chosen(table(rows, "length first_rank take first_sequence")).withColumn("sequence_id", F.expr("first_sequence + _rank - first_rank")).withColumn("offset", F.lit(0).cast("long"))
+            placed.append(staged(new.select(*columns, "sequence_id", "offset"), "opened"))
+            fresh = placed[-1].select("sequence_id", F.expr(f"{capacity} - length").alias("gap")).where("gap > 0")
+            both = staged(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
+            if gaps is not None:
+                discard(gaps)
+            gaps = both
+    if not placed:
+        return ranked.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return reduce(DataFrame.unionByName, placed)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

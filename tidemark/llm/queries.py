@@ -27,5 +27,19 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_round_trip(table(spark, folder, "documents"), tokenizer_file()).drop("part")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files)}
-ORACLE: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.dedup_exact import exact_groups
+
+    tune(spark)
+    return exact_groups(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op7_exact_dedup)}
+
+#: DuckDB twins, where SQL can say the whole result
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)""",
+}
