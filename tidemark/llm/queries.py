@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, token_files, twins
 from tidemark.llm.common import table
 from tidemark.session import tune
 
@@ -13,33 +14,40 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.packing import packed
-
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
     tune(spark)
-    return packed(table(spark, folder, "documents"), tokenizer_file())
+    return table(spark, folder, "documents")
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_documents(spark, folder), tokenizer_file())
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.token_files import token_round_trip
+    return token_files.token_round_trip(_documents(spark, folder), tokenizer_file()).drop("part")
 
-    tune(spark)
-    return token_round_trip(table(spark, folder, "documents"), tokenizer_file()).drop("part")
+
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, folder), shingle=4)
+
+
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, folder))
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.dedup_exact import exact_groups
+    return dedup_exact.exact_groups(_documents(spark, folder))
 
-    tune(spark)
-    return exact_groups(table(spark, folder, "documents"))
+
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op9_decontamination, op10_personal_data)}
 
 #: DuckDB twins, where SQL can say the whole result
-ORACLE: dict[str, str] = {
-    "op7_exact_dedup": r"""
-WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY norm)""",
-}
+ORACLE = {"op5_near_dedup": twins.NEAR_DEDUP, "op6_licenses": twins.LICENSES, "op7_exact_dedup": twins.EXACT_DEDUP, "op9_decontamination": twins.DECONTAMINATION}
