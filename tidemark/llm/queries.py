@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, token_files, twins
+from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, suffix_dedup, token_files, twins
 from tidemark.llm.common import table
 from tidemark.session import tune
 
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_exact.exact_groups(_documents(spark, folder))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats_removed(_documents(spark, folder)).drop("kept_text")
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, folder), table(spark, folder, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op9_decontamination, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op8_suffix_dedup, op9_decontamination, op10_personal_data)}
 
 #: DuckDB twins, where SQL can say the whole result
 ORACLE = {"op5_near_dedup": twins.NEAR_DEDUP, "op6_licenses": twins.LICENSES, "op7_exact_dedup": twins.EXACT_DEDUP, "op9_decontamination": twins.DECONTAMINATION}
