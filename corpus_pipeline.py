@@ -8,19 +8,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.dedup_exact import keep_first_copies
+from tidemark.llm.decontaminate import without_contaminated
+from tidemark.llm.near_dedup import keep_representatives
 from tidemark.llm.packing import packed
 from tidemark.llm.queries import tokenizer_file
+from tidemark.llm.toxicity import without_toxic
 from tidemark.session import tune
 from tidemark.staging import staged
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    tune(spark)
+    return without_toxic(docs, table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The first document of each text (blank runs counting as one blank)."""
+    tune(spark)
+    return keep_first_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group linked by word-shingle similarity (five words, 0.8 or more)."""
+    tune(spark)
+    return keep_representatives(docs, shingle=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    tune(spark)
+    return without_contaminated(docs, table(spark, folder, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token pieces of what is left, packed into sequences."""
     tune(spark)
     return packed(docs, tokenizer_file())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 #: SQL can express neither the classifier nor best-fit packing
 ORACLE_SQL = None

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, suffix_dedup, token_files, twins
+from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity, twins
 from tidemark.llm.common import table
 from tidemark.session import tune
 
@@ -23,6 +23,15 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_documents(spark, folder), tokenizer_file())
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_documents(spark, folder), table(spark, folder, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    return toxicity.toxicity(docs, docs, table(spark, folder, "labels"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_round_trip(_documents(spark, folder), tokenizer_file()).drop("part")
 
@@ -51,7 +60,8 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op8_suffix_dedup, op9_decontamination, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_quality, op3_toxicity, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op8_suffix_dedup, op9_decontamination, op10_personal_data)}
 
 #: DuckDB twins, where SQL can say the whole result
 ORACLE = {"op5_near_dedup": twins.NEAR_DEDUP, "op6_licenses": twins.LICENSES, "op7_exact_dedup": twins.EXACT_DEDUP, "op9_decontamination": twins.DECONTAMINATION}
