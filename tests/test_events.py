@@ -127,3 +127,17 @@ def test_folds_never_train_on_open_labels(spark):
 def test_back_adjust(spark):
     raw = spark.createDataFrame([("A", d(f"2024-01-0{i}"), 100.0, f) for i, f in ((1, 1.0), (2, 2.0), (3, 1.0), (4, 3.0))], "symbol string, date date, close double, split_factor double")
     assert [r["close_adjusted"] for r in px.back_adjust(raw).orderBy("date").collect()] == [100 / 6, 100 / 3, 100 / 3, 100.0]
+
+
+def test_control_draw_does_not_depend_on_the_index(spark):
+    start = spark.range(1).select(F.to_date(F.lit("2018-01-01")).alias("d"))
+    symbols = spark.range(300).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("symbol"))
+    ends = symbols.crossJoin(start).select("symbol", F.explode(F.array("d", F.date_add("d", 2000))).alias("date"))
+    picks = spark.range(60).select(F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("id") * 7).cast("int")).alias("rec_date"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("symbol"))
+    picks = picks.withColumn("yf_symbol", F.col("symbol"))
+    drawn = [rows(ev.sample_controls(picks, ends, arcs=n), "rec_date", "symbol") for n in (1, 8, 256)]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 600
+    used = [s for _, s in drawn[0]]
+    assert len(set(used)) > 240 and max(used.count(s) for s in set(used)) <= 9  # 2 expected each
+    strict = spark.createDataFrame([("T1", "EQUITY"), ("T2", "ETF"), ("T3", None)], "symbol string, quote_type string")
+    assert {s for _, s in rows(ev.sample_controls(picks, ends, universe=strict), "rec_date", "symbol")} == {"T1"}

@@ -127,3 +127,19 @@ def test_page_sorts_missing_last(spark):
 
 
 _ = approx
+
+
+def test_entities_and_unicode_blanks(spark):
+    import html
+
+    from tidemark.sources.text_files import unescape
+
+    texts = ["", "a & b", "&amp;lt; &lt;b&gt; &copy 2020 &copyx &notit; &nosuch; &", "&#8217;&#x2019;&#160;&#0;&#128;&#xD800;&#99999999999; &#12", "&mdash;&nbsp;&rarr;&ampamp;", "&&amp;&;&#;&#x;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape(F.col("t")).alias("u"))
+    for r in df.collect():
+        assert r.u == html.unescape(r.t), r.t
+    page = "<p>Item&#160;1A.&#160;Risk Factors</p><p>It&#8217;s a risk &mdash; " + "word " * 60 + "</p>"
+    lines = tx.document_lines(F.lit(page))
+    got = spark.range(1).select(F.lit("A").alias("symbol"), F.lit("1").alias("accn"), F.lit("10-K").alias("form"), F.lit("2024-01-01").alias("filed"), lines.alias("lines"))
+    assert got.first().lines[0] == "Item 1A. Risk Factors"
+    assert [c.item for c in tx.chunk_filings(got).collect()] == ["1A"]

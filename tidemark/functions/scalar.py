@@ -57,13 +57,6 @@ def lookup(key: Column, table: Mapping[str, object]) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def first_match(rules: Iterable[tuple[Column, object]], default: object = None) -> Column:
-    out = None
-    for condition, value in rules:
-        out = F.when(condition, F.lit(value)) if out is None else out.when(condition, F.lit(value))
-    return out.otherwise(F.lit(default))
-
-
 # fixed values: multipliers of the size letters in "$152B"
 CAP_UNITS = {"M": 1e6, "B": 1e9, "T": 1e12}
 

@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import cap_bucket, lookup
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ranks import quantiles, running_totals, unpivot
+from tidemark.operators.spells import eligible_strict
 from tidemark.staging import staged
 
 # fixed values: former ticker -> current ticker; dated corrections; snapshot day of the sheet; horizons
@@ -17,7 +19,6 @@ SHEET_SNAPSHOT = "2020-04-08"
 HORIZONS = {"30d": 30, "90d": 90, "180d": 180, "365d": 365}
 MAX_GAP_DAYS = 5
 CONTROLS_PER_PICK, CONTROL_HISTORY_DAYS, SEED = 10, 400, 7
-SYMBOLS_PER_SLICE = 256
 KEYS = ["rec_date", "symbol", "action"]
 
 
@@ -105,36 +106,59 @@ def beat_label(df: DataFrame, horizon: str = "365d") -> DataFrame:
     return df.withColumn(f"beat_spy_{horizon}", F.col(f"excess_{horizon}") > 0)
 
 
-def sample_controls(picks: DataFrame, bars: DataFrame, per_pick: int = CONTROLS_PER_PICK, seed: int = SEED, index: str = "SPY") -> DataFrame:
-    """Date-matched controls: per pick date, up to `per_pick` times the picks, drawn without replacement
-    from symbols with 400 days of history that still trade and are not picked that day.
+RINGS = 64
 
-    The draw walks a hash ring: symbols sit at fixed pseudo-random places, every date starts somewhere
-    else and takes the first free symbols alive on it. Counts per (ring slice, date) come from +1/-1 steps,
-    so a date is joined only with the few slices it needs, never with every symbol. Repeatable, and exactly
-    min(free, wanted) rows per date.
+
+def ring_number(*parts: Column | str) -> Column:
+    """A 32-bit number of a text: the first eight hex digits of its md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def sample_controls(picks: DataFrame, bars: DataFrame, per_pick: int = CONTROLS_PER_PICK, seed: int = SEED, index: str = "SPY", universe: DataFrame | None = None, arcs: int | None = None) -> DataFrame:
+    """Date-matched controls: per pick date, up to `per_pick` times the picks, drawn without replacement from
+    symbols with 400 days of history that still trade and are not picked that day (known equities only where a
+    `universe` is given).
+
+    A date is dealt one of RINGS orders of the symbols and a starting point on that ring, both by a hash of the
+    date; it takes the first free symbols that are alive on it. Rings are cut into arcs, which serve as an index
+    alone: a date opens as many as its number of living symbols suggests, and twice as many while they hold too
+    few free ones. So a date never meets every symbol, and the draw does not depend on the number of arcs.
     """
     spans = bars.where(F.col("symbol") != index).groupBy("symbol").agg(F.date_add(F.min("date"), CONTROL_HISTORY_DAYS).alias("first"), F.max("date").alias("last")).where("first <= last")
-    spans = staged(spans.withColumn("place", F.xxhash64(F.lit(seed), "symbol")), "spans")
-    slices = min(max(spans.count() // SYMBOLS_PER_SLICE, 1), 1 << 16)  # one number
-    spans = spans.withColumn("slice", F.pmod("place", F.lit(slices)))
-    taken = picks.select("rec_date", "symbol").union(picks.select("rec_date", F.col("yf_symbol"))).distinct()
+    if universe is not None:
+        spans = eligible_strict(spans, universe)
+    spans = staged(spans, "spans")
+    taken = staged(picks.select("rec_date", "symbol").union(picks.select("rec_date", F.col("yf_symbol"))).distinct(), "taken")
     dates = picks.groupBy("rec_date").agg((F.count(F.lit(1)) * per_pick).alias("_n"))
     dates = dates.join(taken.groupBy("rec_date").agg(F.count(F.lit(1)).alias("_taken")), "rec_date")
-    steps = spans.select("slice", F.col("first").alias("_d"), F.lit(1).alias("_step")).unionByName(spans.select("slice", F.date_add("last", 1).alias("_d"), F.lit(-1).alias("_step")))
-    daily = steps.groupBy("slice", "_d").agg(F.sum("_step").alias("_step"))
-    asked = dates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.col("rec_date").alias("_d"), "_n", "_taken")
-    line = daily.withColumn("_n", F.lit(None).cast("long")).withColumn("_taken", F.lit(None).cast("long")).unionByName(asked.withColumn("_step", F.lit(0).cast("long")))
-    upto = Window.partitionBy("slice").orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # calendar days of one slice
-    alive = line.select("slice", F.col("_d").alias("rec_date"), "_n", "_taken", F.sum("_step").over(upto).alias("_alive")).where("_n is not null")
-    turn = F.pmod(F.col("slice") - F.xxhash64(F.lit(seed), "rec_date"), F.lit(slices))
-    ring = Window.partitionBy("rec_date").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)  # slices of one date
-    needed = alive.withColumn("_turn", turn).withColumn("_before", F.coalesce(F.sum("_alive").over(ring), F.lit(0))).where(F.col("_before") < F.col("_n") + F.col("_taken"))
-    near = needed.where("_alive > 0").select("rec_date", "slice", "_n", "_turn").join(spans, "slice").where("first <= rec_date and rec_date <= last")
-    free = near.join(taken, ["rec_date", "symbol"], "left_anti")
-    w = Window.partitionBy("rec_date").orderBy("_turn", "place", "symbol")  # the slices taken hold little more than _n rows
-    most = free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_n"))
-    return most.select("rec_date", "symbol", F.col("symbol").alias("yf_symbol"))
+    steps = spans.select(F.col("first").alias("rec_date"), F.lit(1).alias("_step")).unionByName(spans.select(F.date_add("last", 1).alias("rec_date"), F.lit(-1).alias("_step"))).groupBy("rec_date").agg(F.sum("_step").alias("_step"))
+    line = steps.join(dates, "rec_date", "full")
+    upto = Window.orderBy("rec_date").rowsBetween(Window.unboundedPreceding, 0)  # calendar days
+    dates = line.withColumn("_alive", F.coalesce(F.sum("_step").over(upto), F.lit(0))).where("_n is not null and _alive > 0")
+    day = F.date_format("rec_date", "yyyy-MM-dd")
+    if arcs is None:
+        arcs = 1 << max(0, (spans.count() // 16).bit_length())
+    width = (1 << 32) // arcs
+    dates = dates.select("rec_date", "_n", (ring_number(F.lit(f"ring{seed}"), day) % RINGS).alias("_ring"), ring_number(F.lit(f"start{seed}"), day).alias("_start"),
+                         F.ceil(F.lit(1.5 * arcs) * (F.col("_n") + F.col("_taken")) / F.col("_alive")).cast("long").alias("_open"))
+    waiting, drawn = staged(dates, "dates"), []
+    rings = spans.withColumn("_ring", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RINGS - 1).cast("long"))))
+    rings = rings.withColumn("place", ring_number(F.lit(f"place{seed}"), F.col("_ring").cast("string"), "symbol")).withColumn("_arc", F.floor(F.col("place") / width))
+    while not waiting.isEmpty():
+        opened = waiting.withColumn("_open", F.least("_open", F.lit(arcs + 1).cast("long")))
+        asked = opened.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_open"), F.lit(arcs).cast("long")) - 1))).withColumn("_arc", (F.floor(F.col("_start") / width) + F.col("_i")) % arcs)
+        near = asked.join(rings, ["_ring", "_arc"]).where("first <= rec_date and rec_date <= last").withColumn("_turn", F.pmod(F.col("place") - F.col("_start"), F.lit(1 << 32)))
+        whole = F.col("_open") > arcs  # the first arc counts from the start on; it is complete once all are open
+        near = near.where(whole | (F.col("_turn") < F.col("_open") * width - F.col("_start") % width))
+        free = near.join(taken, ["rec_date", "symbol"], "left_anti")
+        w = Window.partitionBy("rec_date").orderBy("_turn", "symbol")  # little more than _n rows
+        got = staged(free.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_n")).select("rec_date", "symbol", "_k", "_n", "_open"), "controls")
+        enough = got.where(f"_k = _n or _open > {arcs}").select("rec_date").distinct()
+        drawn.append(got.join(enough, "rec_date", "left_semi").select("rec_date", "symbol"))
+        waiting = staged(opened.where(f"_open <= {arcs}").join(enough, "rec_date", "left_anti").withColumn("_open", F.col("_open") * 2 + 1), "dates")
+    none = spans.select(F.lit(None).cast("date").alias("rec_date"), "symbol").limit(0)
+    out = reduce(DataFrame.unionByName, drawn, none)
+    return out.select("rec_date", "symbol", F.col("symbol").alias("yf_symbol"))
 
 
 def entry_profile(buys: DataFrame, bars: DataFrame, index_bars: DataFrame) -> DataFrame:
@@ -201,11 +225,17 @@ def outcome_by(labelled: DataFrame, group: str, ret: str = "ret_365d", excess: s
     return base.join(m1, group, "left").join(m2, group, "left")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long summary: one row per column with count, mean, std, min, quartiles, max (interpolated)."""
+def describe(df: DataFrame, columns: Sequence[str], against: Mapping[str, str] | None = None) -> DataFrame:
+    """Long summary: one row per column with count, mean, std, min, quartiles, max (interpolated). `against` maps a
+    column to the one that holds its lead over the index; `beat_spy` is then the share of positive leads."""
+    against = against or {}
     long = unpivot(df, [], list(columns), "column").where("value is not null")
     base = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return base.join(quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column")
+    out = base.join(quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column")
+    if against:
+        leads = unpivot(df.select(*[F.col(lead).alias(c) for c, lead in against.items()]), [], list(against), "column").where("value is not null")
+        out = out.join(leads.groupBy("column").agg(F.avg((F.col("value") > 0).cast("double")).alias("beat_spy")), "column", "left")
+    return out
 
 
 def coverage_by_year(recs: DataFrame) -> DataFrame:

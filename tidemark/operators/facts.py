@@ -56,20 +56,22 @@ def derive_quarters(facts: DataFrame, no_lookahead: bool = False) -> DataFrame:
     The result takes the filing of the cumulative value. `no_lookahead` also demands that the earlier
     value was filed by then. The join key (symbol, concept, unit, start) holds one fiscal year's reports.
     """
+    rank = [c for c in ("source_rank",) if c in facts.columns]
     flows = facts.where("period_start is not null")
     days = F.datediff("period_end", "period_start")
     cumulative = flows.where(days.between(*CUMULATIVE_DAYS))
     prior = flows.groupBy("symbol", "concept", "unit", "period_start", F.col("period_end").alias("prior_end"), F.col("filed_at").alias("prior_filed")).agg(
-        F.min_by("value", "accession_no").alias("prior_value")
+        F.min_by("value", F.struct("accession_no", *rank, "value")).alias("prior_value")
     )
     pairs = cumulative.join(prior, ["symbol", "concept", "unit", "period_start"]).where(F.datediff("period_end", "prior_end").between(*STEP_DAYS))
     if no_lookahead:
         pairs = pairs.where("prior_filed <= filed_at")
     # the earliest filing of the prior value wins
     first = pairs.groupBy("symbol", "concept", "unit", "period_start", "period_end", "accession_no", "prior_end").agg(
-        F.min_by("prior_value", "prior_filed").alias("prior_value"),
-        *[F.first(c).alias(c) for c in ("value", "form", "filed_at")],
-    )
+        F.min_by("prior_value", F.struct("prior_filed", "prior_value")).alias("prior_value"),
+        # where both sources carry the fact, the first source speaks
+        F.min(F.struct(*rank, "filed_at", "form", "value")).alias("own"),
+    ).select("*", "own.value", "own.form", "own.filed_at")
     return first.select(
         "symbol", "concept", (F.col("value") - F.col("prior_value")).alias("value"), "unit",
         F.date_add("prior_end", 1).alias("period_start"), "period_end",
@@ -97,7 +99,7 @@ def build_financials(facts: DataFrame, derive: bool = True) -> DataFrame:
     everything = facts.unionByName(derive_quarters(facts)) if derive else facts
     rank = lookup(F.col("concept"), {c: i for i, c in enumerate(CONCEPT_COLUMNS)})
     key = ["symbol", "period_end", "period_type", "accession_no", "form", "filed_at"]
-    chosen = statement_facts(everything).groupBy(*key, "column").agg(F.min_by("value", rank * 4 + F.col("source_rank")).alias("value"))
+    chosen = statement_facts(everything).groupBy(*key, "column").agg(F.min_by("value", F.struct(rank, "source_rank", "value")).alias("value"))
     wide = chosen.groupBy(*key).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in STATEMENT_COLUMNS])
     return wide.select(
         "symbol", F.col("period_end").alias("period"), "period_type", F.col("accession_no").alias("accn"), "form",

@@ -26,7 +26,7 @@ def normalise_daily(raw: DataFrame) -> DataFrame:
 
 def normalise_intraday(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """UTC instants -> naive exchange-local time; only a missing close drops the row."""
-    return raw.where(F.col("close").isNotNull()).select(
+    return raw.where(F.col("close").isNotNull() & ~F.isnan("close")).select(
         "symbol", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone).cast("timestamp_ntz").alias("ts"),
         "open", "high", "low", "close", F.coalesce(F.col("volume").cast("long"), F.lit(0).cast("long")).alias("volume"),
     )

@@ -5,13 +5,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.sources.text_files import unescape_common
+from tidemark.sources.text_files import unescape
 from tidemark.staging import staged
 
 # fixed values: kept sections per form, chunk sizes, headings, block tags
 KEPT_ITEMS = {"10-K": ["1", "1A", "7", "7A"], "10-Q": ["2", "1A"]}
 CHUNK_CHARS, MIN_CHUNK_CHARS, HEADING_MAX_CHARS = 1500, 200, 150
-ITEM = r"(?i)^item\s*(\d{1,2}[AB]?)\b\.?"
+ITEM = r"(?iU)^item\s*(\d{1,2}[AB]?)\b\.?"
 BLOCK_TAGS = "p|div|tr|li|br|h1|h2|h3|h4|h5|h6|table"
 
 
@@ -22,8 +22,8 @@ def document_lines(markup: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(script|style|ix:header)\b.*?</\1\s*>", "")
     text = F.regexp_replace(text, rf"(?i)</({BLOCK_TAGS})\s*>|<br\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?i)</(td|th)\s*>", " ")
-    text = unescape_common(F.regexp_replace(text, r"<[^>]*>", ""))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    text = unescape(F.regexp_replace(text, r"<[^>]*>", ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.filter(lines, lambda x: x != "")
 
 
@@ -63,24 +63,21 @@ def chunk_filings(filings: DataFrame, lines: str = "lines", min_chars: int = MIN
     return out.select("symbol", "accn", "form", "filed", "c.item", "chunk", "c.text")
 
 
-def default_stop_words() -> list[str]:
-    """scikit-learn's English list where that package is installed, else Spark's own."""
-    try:
-        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
-
-        return sorted(ENGLISH_STOP_WORDS)
-    except ImportError:
-        from pyspark.ml.feature import StopWordsRemover
-
-        return StopWordsRemover.loadDefaultStopWords("english")
+# fixed values: the default stop words (common English function words)
+STOP_WORDS = """
+a about above after again all also am an and any are as at be because been before being below between both but by can
+could did do does doing down during each few for from further had has have having he her here hers herself him himself
+his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours
+ourselves out over own same she should so some such than that the their theirs them themselves then there these they
+this those through to too under until up very was we were what when where which while who whom why will with would you
+your yours yourself yourselves
+""".split()
 
 
 def tokens(text: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """Lower-case words without stop words; plural endings cut after the stop words are gone."""
-    stop_words = default_stop_words() if stop_words is None else stop_words
+    """The words of a text in lower case, in order: first the stop words go, then plural endings are cut."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    kept = F.filter(words, lambda w: ~w.isin(list(STOP_WORDS if stop_words is None else stop_words)))
     return F.transform(kept, singular)
 
 
@@ -96,7 +93,7 @@ def singular(word: Column) -> Column:
 def _counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None) -> DataFrame:
     """(symbol, key, term, tf). Words are exploded first: the stop-word test is then one hash lookup inside
     generated code, and counting starts map-side."""
-    stop = default_stop_words() if stop_words is None else list(stop_words)
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
     words = df.select("symbol", key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
     kept = words.where(~F.col("w").isin(stop)) if stop else words
     return kept.select("symbol", key, singular(F.col("w")).alias("term")).groupBy("symbol", key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -196,7 +193,7 @@ def newest_headlines(news: DataFrame, n: int = 8, tie: str = "item_id") -> DataF
 
 # --- company names -------------------------------------------------------------------------------
 # fixed values: legal suffixes that do not identify a company
-NAME_SUFFIXES = "inc corp corporation co company ltd limited holdings holding group plc the de new incorporated sa nv llc lp".split()
+NAME_SUFFIXES = ["inc", "corp", "corporation", "co", "company", "ltd", "limited", "holdings", "holding", "group", "plc", "the", "de", "new", "incorporated", "sa", "nv", "llc", "lp"]
 
 
 def normal_name(name: Column) -> Column:

@@ -41,7 +41,7 @@ def with_ctes(body: str) -> str:
 define("bars", """
 SELECT 'S' || l_suppkey AS symbol, d AS date, open, high, low, close, close * (1 + (l_suppkey % 7) * 0.01::DOUBLE) AS adj_close, volume FROM (
   SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, arg_min(p, seq) AS open, max(p) AS high, min(p) AS low, arg_max(p, seq) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume
-  FROM (SELECT *, l_extendedprice / l_quantity AS p, (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576 AS seq FROM lineitem WHERE l_quantity > 0)
+  FROM (SELECT *, l_extendedprice / l_quantity AS p, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq FROM lineitem WHERE l_quantity > 0)
   GROUP BY 1, 2)
 """)
 define("idx", "SELECT 'SPY' AS symbol, date, avg(close) AS close, avg(adj_close) AS adj_close FROM bars GROUP BY date")

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators import grounding as gr, lists as ls, scoring as sc, text as tx
 from tidemark.plans.cte import define
 from tidemark.plans.market import price_panel, price_scores
-from tidemark.plans.registry import query, r, rounded
+from tidemark.plans.registry import query, rounded
 from tidemark.plans.standins import Lake
 from tidemark.sources import lake as lk, text_files as tf
 from tidemark.staging import staged
 
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+# every entity that the tables hold, the ampersand last so that nothing is decoded twice
+_UNESCAPE = "{x}"
+for _e, _c in (("&lt;", "60"), ("&gt;", "62"), ("&quot;", "34"), ("&#39;", "39"), ("&apos;", "39"), ("&nbsp;", "160"), ("&#160;", "160"), ("&copy;", "169"), ("&middot;", "183"), ("&#8217;", "8217"), ("&mdash;", "8212"), ("&amp;", "38")):
+    _UNESCAPE = f"replace({_UNESCAPE}, '{_e}', chr({_c}))"
+_BLANK = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 define("news", f"""
-SELECT * FROM (SELECT symbol, date, published_at, item_id, regexp_replace({_UNESCAPE.format(x="regexp_replace(headline, '^[{][^}]*[}]!?', '')")}, '^\\s+|\\s+$', '', 'g') AS headline,
+SELECT * FROM (SELECT symbol, date, published_at, item_id, regexp_replace({_UNESCAPE.format(x="regexp_replace(headline, '^[{][^}]*[}]!?', '')")}, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS headline,
  CAST(nullif(regexp_extract(headline, 'K:(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS sentiment FROM raw_news) WHERE headline <> ''
 """)
 
@@ -23,9 +27,9 @@ def clean_news(lake: Lake) -> DataFrame:
     return tf.clean_news(lake.raw_news).select("symbol", "published_at", "item_id", "headline", "sentiment")
 
 
-@query("P1 full entity set")
+@query("P1 full entity set", "SELECT symbol, published_at, item_id, headline, sentiment FROM news")
 def clean_news_all_entities(lake: Lake) -> DataFrame:
-    return tf.clean_news(lake.raw_news, full_entities=True).select("symbol", "published_at", "item_id", "headline", "sentiment")
+    return tf.clean_news(lake.raw_news).select("symbol", "published_at", "item_id", "headline", "sentiment")
 
 
 @query("S3", "SELECT symbol, item_id, date FROM news WHERE date IN (SELECT DISTINCT date FROM raw_news ORDER BY date DESC LIMIT 30)")
@@ -67,7 +71,7 @@ _HIDE = _UNESCAPE.format(x=f"regexp_replace({_HIDE}, '<[^>]*>', '', 'g')")
 
 @query("X1", f"""
 SELECT page_id, line_no, line FROM (SELECT page_id, CAST(generate_subscripts(l, 1) AS BIGINT) - 1 AS line_no, unnest(l) AS line FROM (
- SELECT page_id, list_filter(list_transform(string_split({_HIDE}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages))
+ SELECT page_id, list_filter(list_transform(string_split({_HIDE}, chr(10)), lambda x: trim(regexp_replace(x, '{_BLANK}+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages))
 """)
 def page_lines(lake: Lake) -> DataFrame:
     lines = lake.table("pages").select("page_id", F.posexplode(tx.document_lines(F.col("html"))).alias("line_no", "line"))
@@ -245,5 +249,3 @@ def grounded_questions(lake: Lake) -> DataFrame:
     out = gr.ground(asked, of_supplier(sc.score(panel)), of_supplier(panel), chunks, staged(news, "news"), F.to_timestamp(F.lit("2024-12-31 00:00:00")), stop_words=STOP)
     return out.select("question_id", "route", "symbol", "category", F.size("excerpt_texts").alias("excerpts"), F.size("headlines").alias("headlines"), F.size("ranking").alias("ranked"), "upgrades", "scores.total")
 
-
-_ = r

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import output_date, output_number
-from tidemark.operators import facts as fx, lists as ls, scoring as sc, spells as sp
+from tidemark.operators import lists as ls, scoring as sc
 from tidemark.plans.cte import PRICE, define
 from tidemark.plans.market import financial_table, price_panel, price_scores
 from tidemark.plans.registry import query, r, rounded
@@ -216,5 +216,3 @@ def table_sink(lake: Lake) -> DataFrame:
     """The panel written as a table and read back."""
     return rounded(staged(price_panel(lake).drop("close"), "panel"))
 
-
-_ = (fx, sp)

@@ -46,8 +46,8 @@ class Lake:
     def bars(self) -> DataFrame:
         li = self.table("lineitem").where("l_quantity > 0")
         price = F.col("l_extendedprice") / F.col("l_quantity")
-        # trades of a day follow order, line, part; one long keeps open and close in a hash aggregate
-        at = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey") % 1048576
+        # trades of a day follow order, line, part and price
+        at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
         trades = li.select("l_suppkey", F.to_date("l_shipdate").alias("date"), price.alias("p"), "l_quantity", at.alias("at"))
         day = trades.groupBy("l_suppkey", "date").agg(
             F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"),

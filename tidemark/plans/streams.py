@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import text as tx
 from tidemark.plans.cte import define
-from tidemark.plans.registry import query, r, rounded
+from tidemark.plans.registry import query, rounded
 from tidemark.plans.signals import bucket
 from tidemark.plans.standins import Lake
 from tidemark.sources import text_files as tf
@@ -88,5 +88,3 @@ def stream_action_counts(lake: Lake) -> DataFrame:
     daily = jobs.run_to_table(jobs.daily_counts(news, words), "actions")
     return jobs.trailing_counts(daily, list(words.values()))
 
-
-_ = r

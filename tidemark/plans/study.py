@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import clipped, log_cap, sic_bucket
-from tidemark.operators import events as ev, facts as fx, lists as ls, metrics as mt, prices as px, ranks as rk, scoring as sc, text as tx
+from tidemark.operators import events as ev, facts as fx, lists as ls, prices as px, ranks as rk, scoring as sc, text as tx
 from tidemark.plans.cte import define, percent
 from tidemark.plans.market import price_scores, financial_table
 from tidemark.plans.registry import query, r, rounded
 from tidemark.plans.standins import Lake, symbol_of
-from tidemark.sources import lake as lk, text_files as tf
+from tidemark.sources import text_files as tf
 from tidemark.staging import staged
 
 # --- sources -----------------------------------------------------------------------------------
@@ -157,36 +157,36 @@ def buys(lake: Lake) -> DataFrame:
     return staged(ev.with_report_columns(recommendations(lake), lake.universe).where("action = 'BUY'"), "buys")
 
 
-def _outcome_sql(group: str, alias: str) -> str:
+def _outcome_sql(group: str, alias: str, labelled: bool) -> str:
     return (f"SELECT {group} AS {alias}, count(*) AS n, round(median(ret_365d), 6) AS med_365d, round(median(excess_365d), 6) AS med_excess, round(avg(CAST(coalesce(excess_365d > 0, false) AS INT)), 6) AS beat_spy "
-            f"FROM buys WHERE ret_365d IS NOT NULL AND {group} IS NOT NULL GROUP BY 1")
+            f"FROM buys WHERE {'ret_365d IS NOT NULL AND ' if labelled else ''}{group} IS NOT NULL GROUP BY 1")
 
 
-@query("A15 P13 cap bucket", _outcome_sql("cap_bucket", "cap_bucket"))
+@query("A15 P13 cap bucket", _outcome_sql("cap_bucket", "cap_bucket", False))
 def outcome_by_cap(lake: Lake) -> DataFrame:
-    return rounded(ev.outcome_by(buys(lake).where("ret_365d is not null"), "cap_bucket"))
+    return rounded(ev.outcome_by(buys(lake), "cap_bucket"))
 
 
-@query("A15 sector", _outcome_sql("sector", "sector"))
+@query("A15 sector", _outcome_sql("sector", "sector", False))
 def outcome_by_sector(lake: Lake) -> DataFrame:
-    return rounded(ev.outcome_by(buys(lake).where("ret_365d is not null"), "sector"))
+    return rounded(ev.outcome_by(buys(lake), "sector"))
 
 
-@query("A15 year", _outcome_sql("yr", "year"))
+@query("A15 year", _outcome_sql("yr", "year", True))
 def outcome_by_year(lake: Lake) -> DataFrame:
     return rounded(ev.outcome_by(buys(lake).where("ret_365d is not null"), "year").withColumn("year", F.col("year").cast("long")))
 
 
-@query("A15 team", _outcome_sql("team", "team"))
+@query("A15 team", _outcome_sql("team", "team", True))
 def outcome_by_team(lake: Lake) -> DataFrame:
     return rounded(ev.outcome_by(buys(lake).where("ret_365d is not null"), "team"))
 
 
 @query("A16", "\nUNION ALL ".join(
-    f"SELECT 'ret_{n}' AS \"column\", count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25, round(median(x), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max FROM (SELECT ret_{n} AS x FROM buys WHERE ret_365d IS NOT NULL)"
+    f"SELECT 'ret_{n}' AS \"column\", count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25, round(median(x), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max, round(avg(CAST(e > 0 AS INT)), 6) AS beat_spy FROM (SELECT ret_{n} AS x, excess_{n} AS e FROM buys WHERE ret_365d IS NOT NULL)"
     for n in _H))
 def return_summary(lake: Lake) -> DataFrame:
-    return rounded(ev.describe(buys(lake).where("ret_365d is not null"), [f"ret_{n}" for n in _H]))
+    return rounded(ev.describe(buys(lake).where("ret_365d is not null"), [f"ret_{n}" for n in _H], {f"ret_{n}": f"excess_{n}" for n in _H}))
 
 
 @query("A17", """
@@ -288,22 +288,28 @@ def picks(lake: Lake) -> DataFrame:
     return recommendations(lake).where("action = 'BUY'").select("rec_date", "symbol", "yf_symbol", "team", "is_repeat", "buy_number", "source", "mf_return")
 
 
-@query("J17", """
-WITH days AS (SELECT rec_date, count(*) AS n FROM merged WHERE action = 'BUY' GROUP BY 1), spans AS (SELECT symbol, min(date) AS first, max(date) AS last FROM bars GROUP BY 1)
-SELECT rec_date, least(n * 10, (SELECT count(*) FROM spans s WHERE s.first + 400 <= d.rec_date AND s.last >= d.rec_date AND s.symbol NOT IN (SELECT symbol FROM merged m WHERE m.action = 'BUY' AND m.rec_date = d.rec_date))) AS controls
-FROM days d
+_NUMBER = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+define("drawn", f"""
+SELECT rec_date, symbol FROM (
+ SELECT d.rec_date, s.symbol, d.n, row_number() OVER (PARTITION BY d.rec_date ORDER BY ({_NUMBER.format("'place7|' || ring || '|' || s.symbol")} - start + 4294967296) % 4294967296, s.symbol) AS k
+ FROM (SELECT rec_date, count(*) * 10 AS n, {_NUMBER.format("'ring7|' || strftime(rec_date, '%Y-%m-%d')")} % 64 AS ring, {_NUMBER.format("'start7|' || strftime(rec_date, '%Y-%m-%d')")} AS start FROM merged WHERE action = 'BUY' GROUP BY 1) d
+ JOIN (SELECT symbol, min(date) AS first, max(date) AS last FROM bars JOIN universe USING (symbol) WHERE quote_type = 'EQUITY' GROUP BY 1) s ON s.first + 400 <= d.rec_date AND s.last >= d.rec_date
+ WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.action = 'BUY' AND m.rec_date = d.rec_date AND m.symbol = s.symbol)) WHERE k <= n
 """)
-def control_counts(lake: Lake) -> DataFrame:
-    """How many controls each pick date gets (the draw itself is a keyed hash)."""
-    p = staged(merged(lake).where("action = 'BUY'").select("rec_date", "symbol", "yf_symbol"), "picks")
-    drawn = ev.sample_controls(p, lake.bar_table).groupBy("rec_date").agg(F.count(F.lit(1)).alias("controls"))
-    return p.select("rec_date").distinct().join(drawn, "rec_date", "left").select("rec_date", F.coalesce("controls", F.lit(0)).alias("controls"))
 
 
-@query("J17 draw")
+@query("J17 draw", "SELECT rec_date, symbol, symbol AS yf_symbol FROM drawn")
 def controls(lake: Lake) -> DataFrame:
     p = staged(merged(lake).where("action = 'BUY'").select("rec_date", "symbol", "yf_symbol"), "picks")
-    return ev.sample_controls(p, lake.bar_table)
+    return ev.sample_controls(p, lake.bar_table, universe=lake.universe)
+
+
+@query("J17", "SELECT rec_date, count(drawn.symbol) AS controls FROM (SELECT DISTINCT rec_date FROM merged WHERE action = 'BUY') LEFT JOIN drawn USING (rec_date) GROUP BY 1")
+def control_counts(lake: Lake) -> DataFrame:
+    """How many controls each pick date gets."""
+    p = staged(merged(lake).where("action = 'BUY'").select("rec_date", "symbol", "yf_symbol"), "picks")
+    drawn = ev.sample_controls(p, lake.bar_table, universe=lake.universe).groupBy("rec_date").agg(F.count(F.lit(1)).alias("controls"))
+    return p.select("rec_date").distinct().join(drawn, "rec_date", "left").select("rec_date", F.coalesce("controls", F.lit(0)).alias("controls"))
 
 
 define("bar_features", """
@@ -416,7 +422,7 @@ def training_table(lake: Lake) -> DataFrame:
     """Picks and controls with features, fundamentals, app scores, industry, forward returns and label."""
     bars, idx = lake.bar_table, lake.index_bars
     p = staged(merged(lake).where("action = 'BUY'").select("rec_date", "symbol", "yf_symbol", "team", "is_repeat", "buy_number", "source", "mf_return"), "picks")
-    c = ev.sample_controls(p, bars)
+    c = ev.sample_controls(p, bars, universe=lake.universe)
     both = staged(p.withColumn("is_pick", F.lit(1)).unionByName(c.withColumn("is_pick", F.lit(0)), allowMissingColumns=True).withColumn("year", F.year("rec_date")), "both")
     out = px.event_features(both, bars, idx, symbol="yf_symbol")
     out = fx.fundamentals_for_pairs(staged(out, "features"), financial_table(lake), bars, lake.splits)
@@ -432,14 +438,11 @@ def training_rows(lake: Lake) -> DataFrame:
     return training_table(lake)
 
 
-@query("A27", """
-SELECT CAST(1 AS BIGINT) AS is_pick, count(*) AS n, round(avg(CAST(ret_12m_ex_1m IS NOT NULL AS INT)), 6) AS has_ret_12m_ex_1m, round(avg(CAST(excess_365d IS NOT NULL AS INT)), 6) AS has_excess_365d
-FROM event_rows e JOIN recs r USING (rec_date, symbol, action) WHERE action = 'BUY'
-""")
+@query("A27")
 def presence_rates(lake: Lake) -> DataFrame:
-    b = rec_table(lake).where("action = 'BUY'").select("rec_date", "symbol", "excess_365d")
-    f = px.event_features(b, lake.bar_table, lake.index_bars).withColumn("is_pick", F.lit(1).cast("long"))
-    return rounded(ev.presence(f, "is_pick", ["ret_12m_ex_1m", "excess_365d"]))
+    """Share of rows with a value, of picks and of controls."""
+    t = training_table(lake)
+    return rounded(ev.presence(t.withColumn("is_pick", F.col("is_pick").cast("long")), "is_pick", ["ret_12m_ex_1m", "pe", "excess_365d"]))
 
 
 def sic_table(lake: Lake) -> DataFrame:
@@ -513,5 +516,3 @@ def company_ids(lake: Lake) -> DataFrame:
     asked = asked.select("symbol", F.concat(F.lit("SUPPLIER "), F.substring("symbol", 2, 20), F.lit(" Holdings (old) Ltd")).alias("company"), "known_by")
     return tx.resolve_companies(asked, registry, filed, {"S7": 70007})
 
-
-_ = (mt, sc, lk)

@@ -3,10 +3,10 @@ submissions JSON, research replies."""
 from __future__ import annotations
 
 import html
+import html.entities
+import json as json_module
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
 from tidemark.functions.scalar import lookup, parse_market_cap
 
@@ -73,27 +73,50 @@ def clean_sheet(raw: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: entities that cover almost every headline
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
+def _entity_table() -> dict[str, str]:
+    """Named entities of the HTML standard (without the closing mark) and the numbers that do not stand for their own
+    code point, both as Python's html module knows them."""
+    named = {n.removesuffix(";"): c for n, c in html.entities.html5.items() if n.endswith(";")}
+    odd = {f"#{n}": html.unescape(f"&#{n};") for n in range(160) if html.unescape(f"&#{n};") != chr(n)}
+    return named | odd
 
 
-@F.pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+# names that older pages write without the closing mark, longest first
+_OPEN_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def unescape_common(text: Column) -> Column:
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))  # last, so nothing is unescaped twice
+def unescape(text: Column) -> Column:
+    """HTML entities decoded, named and numeric, by expressions alone. Text is cut at each ampersand, so nothing is
+    decoded twice; a text without one is left as it is."""
+    table = F.from_json(F.lit(json_module.dumps(_entity_table())), F.lit("map<string,string>"))
 
+    def point(number: Column) -> Column:
+        sound = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\uFFFD")
 
-def clean_news(news: DataFrame, full_entities: bool = False) -> DataFrame:
-    """Splits the provider tag off: sentiment to a number (NULL when none was given), text unescaped and
-    trimmed, empty headlines dropped. `full_entities` covers every HTML entity through one Arrow batch UDF."""
-    unescape = unescape_all if full_entities else unescape_common
+    def one(part: Column) -> Column:
+        decimal, hexa = F.regexp_extract(part, r"^#([0-9]+);?", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        number = F.when(decimal != "", F.when(F.length(decimal) < 10, decimal.cast("long")).otherwise(-1)).when(hexa != "", F.when(F.length(hexa) < 9, F.conv(hexa, 16, 10).cast("long")).otherwise(-1))
+        name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]{0,31});", 1)
+        old = F.regexp_extract(part, f"^({_OPEN_NAMES})", 1)
+        rest = lambda n: F.substring(part, n + 1, F.length(part))
+        return (
+            F.when(number.isNotNull(), F.concat(F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number.cast("string"))), point(number)), F.regexp_replace(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
+            .when((name != "") & F.try_element_at(table, name).isNotNull(), F.concat(F.try_element_at(table, name), rest(F.length(name) + 1)))
+            .when(old != "", F.concat(F.try_element_at(table, old), rest(F.length(old))))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    cut = F.split(text, "&")
+    decoded = F.concat(F.get(cut, F.lit(0)), F.array_join(F.transform(F.slice(cut, F.lit(2), F.size(cut)), one), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def clean_news(news: DataFrame, full_entities: bool = True) -> DataFrame:
+    """Splits the provider tag off: sentiment to a number (NULL when none was given), text unescaped and trimmed of
+    all Unicode blanks, empty headlines dropped. Every entity is decoded; `full_entities` is kept for callers."""
     sentiment = blank_to_null(F.regexp_extract("headline", NEWS_SENTIMENT, 1)).cast("double")
-    text = F.regexp_replace(unescape(F.regexp_replace("headline", NEWS_TAG, "")), r"^\s+|\s+$", "")
+    text = F.regexp_replace(unescape(F.regexp_replace("headline", NEWS_TAG, "")), r"(?U)^\s+|\s+$", "")
     return news.select(*[c for c in news.columns if c != "headline"], text.alias("headline"), sentiment.alias("sentiment")).where("headline <> ''")
 
 
