@@ -110,10 +110,9 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     input part and then by the other columns, so equal rows are interchangeable. An empty table gives an empty table.
     """
     spark = parts.sparkSession
-    columns = parts.columns
-    flat = staged(parts.withColumn("_part", F.spark_partition_id()), "pieces")
-    order = [c for c in columns if c != "length"] or ["length"]
-    ranked = staged(_ranked(flat, "length", "_part", order, "_rank").drop("_part"), "ranked-pieces")
+    # a row travels as one column, so its names cannot meet the ones used here
+    flat = staged(parts.select(F.col("length").cast("long").alias("length"), F.struct(*[F.col(f"`{c}`") for c in parts.columns]).alias("row"), F.spark_partition_id().alias("_part")), "pieces")
+    ranked = staged(_ranked(flat, "length", "_part", ["row"], "_rank").drop("_part"), "ranked-pieces")
     discard(flat)
     waiting = np.zeros(capacity + 1, np.int64)
     for size, n in ranked.groupBy("length").count().collect():  # at most `capacity` rows
@@ -141,7 +140,7 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
             free = staged(_ranked(gaps.withColumn("_part", F.expr("sequence_id % 256")), "gap", "_part", ["sequence_id"], "gap_rank").drop("_part"), "free-gaps")
             if rows:
                 given = chosen(table(rows, "length first_rank take gap first_gap each used")).withColumn("gap_rank", F.expr("first_gap + (_rank - first_rank) div each"))
-                placed.append(staged(given.join(free, ["gap", "gap_rank"]).withColumn("offset", F.expr("used + (_rank - first_rank) % each * length")).select(*columns, "sequence_id", "offset"), "placed"))
+                placed.append(staged(given.join(free, ["gap", "gap_rank"]).withColumn("offset", F.expr("used + (_rank - first_rank) % each * length")).select("row", "sequence_id", "offset"), "placed"))
             gap_counts[:] = 0
             for _, _, n, gap in runs:
                 gap_counts[gap] += n
@@ -166,15 +165,15 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
                     opened, need = opened + take, need - take
             gap_counts[0] = 0
             new = chosen(table(rows, "length first_rank take first_sequence")).withColumn("sequence_id", F.expr("first_sequence + _rank - first_rank")).withColumn("offset", F.lit(0).cast("long"))
-            placed.append(staged(new.select(*columns, "sequence_id", "offset"), "opened"))
+            placed.append(staged(new.select("row", "length", "sequence_id", "offset"), "opened"))
             fresh = placed[-1].select("sequence_id", F.expr(f"{capacity} - length").alias("gap")).where("gap > 0")
             both = staged(fresh if gaps is None else gaps.unionByName(fresh), "gaps")
             if gaps is not None:
                 discard(gaps)
             gaps = both
     if not placed:
-        return ranked.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return reduce(DataFrame.unionByName, placed)
+        return ranked.select("row.*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return reduce(DataFrame.unionByName, [p.select("row", "sequence_id", "offset") for p in placed]).select("row.*", "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
