@@ -31,6 +31,17 @@ def test_smoothing_equals_the_recurrence_across_blocks(spark):
         assert out[f"s{n}"].isna().sum() == n - 1
 
 
+def test_smoothing_over_gaps_equals_pandas(spark):
+    r = np.random.default_rng(3)
+    values = np.where(r.random(700) < 0.3, np.nan, r.normal(50, 9, 700))
+    values[:5], values[300:420] = np.nan, np.nan
+    df = bars(spark, np.nan_to_num(values, nan=-1.0)).withColumn("close", F.when(F.col("close") != -1.0, F.col("close")))
+    out = collect(ind.smoothed(df, ["symbol"], "date", {"s1": ("close", 1), "s5": ("close", 5), "s21": ("close", 21)}))
+    for n in (1, 5, 21):
+        want = pd.Series(values).ewm(alpha=1 / n, min_periods=n, adjust=False).mean()
+        assert (out[f"s{n}"].isna() == want.isna()).all() and np.nanmax(np.abs(out[f"s{n}"] - want)) < 1e-9
+
+
 def test_alligator_and_intensity(spark):
     out = collect(ind.indicators(bars(spark, [float(x) for x in range(60)])))
     first = {c: out[c].first_valid_index() for c in ("jaw", "teeth", "lips")}

@@ -52,44 +52,50 @@ def _frame(by: Sequence[str], ts: str) -> Window:
     return Window.partitionBy(*by).orderBy(ts)
 
 
-def smoothed(df: DataFrame, by: Sequence[str], ts: str, columns: Mapping[str, tuple[str, int]]) -> DataFrame:
-    """Adds exponentially smoothed columns, name -> (column, n), weight 1/n, seeded with the first
-    non-NULL value and NULL until n of them. `row` must number the rows of each group from 1.
+#: decay (in e-folds) over which a block of rows is summed at once, and the largest decay of a single step
+BLOCK_DECAY, STEP_DECAY = 40.0, 200.0
+
 
-    s(t) = (1-a) s(t-1) + a x(t) is a prefix scan: inside a block of rows it is a scaled running sum, and
-    block results chain through the decay of a whole block. The block is short enough that the scale
-    stays finite and long enough that two blocks back no longer matters beyond double precision.
-    Input columns may be NULL only at the start of a group.
+def smoothed(df: DataFrame, by: Sequence[str], ts: str, columns: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Adds exponentially smoothed columns, name -> (column, n), weight 1/n, seeded with the first non-NULL value and
+    NULL until n of them. Over NULLs the last value stands, and its weight decays by one step per row, so the value
+    after a gap counts for more.
+
+    s(t) = k(t) s(t-1) + (1 - k(t)) x(t) is a prefix scan: inside a block it is a running sum scaled by the decay so
+    far, whole steps as a power and what gaps add as an exponential. A block ends after BLOCK_DECAY e-folds of either,
+    so the scale stays finite; from the block before, its own sum is carried over. What is older has decayed by more
+    than a whole block, e**-40 = 4e-18 of its weight, and is left out.
     """
-    blocks: dict[int, int] = {}
-    for _, n in columns.values():
-        blocks[n] = 1 if n == 1 else math.ceil(40 / -math.log(1 - 1 / n))
     w = _frame(by, ts)
-    out = df
-    marks = {}
-    for c in {c for c, _ in columns.values()}:
-        marks[c] = f"_{c}_i"
-        out = out.withColumn(marks[c], F.when(F.col(c).isNotNull(), F.count(c).over(w)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_row", F.row_number().over(w))
     for name, (c, n) in columns.items():
         if n == 1:
-            out = out.withColumn(name, F.col(c))
+            out = out.withColumn(name, F.last(c, ignorenulls=True).over(upto))
             continue
-        i, size, keep = F.col(marks[c]) - 1, blocks[n], 1 - 1 / n
-        block, pos = f"_{name}_b", f"_{name}_p"
-        out = out.withColumn(block, F.floor(i / size)).withColumn(pos, (i % size).cast("double"))
-        # the very first value enters with full weight, every later one with 1/n
-        weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(1 / n))
+        seen, gap, extra, place, beyond, block, local, carried = (f"_{name}_{x}" for x in ("i", "g", "k", "p", "e", "b", "l", "c"))
+        there, unit = F.col(c).isNotNull(), math.log(1 - 1 / n)
+        size = math.ceil(BLOCK_DECAY / -unit)
+        before = F.last(F.when(there, F.col("_row")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(seen, F.count(c).over(upto)).withColumn(gap, F.when(there, F.col("_row") - before))
+        old = F.exp(F.col(gap) * unit)
+        late = F.col(gap) > 1  # rows after a gap decay by more than a step
+        out = out.withColumn(extra, F.when(there & late, F.greatest(F.lit(-STEP_DECAY), F.log(old / (old + 1 / n)) - unit)).otherwise(0.0))
+        out = out.withColumn(beyond, F.sum(extra).over(upto)).withColumn(place, F.col(seen) - 1)
+        out = out.withColumn(block, F.floor(F.col(place) / size) + F.floor(-F.col(beyond) / BLOCK_DECAY))
         inside = Window.partitionBy(*by, block).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-        power = lambda e: F.pow(F.lit(keep), e)
-        out = out.withColumn(f"_{name}_l", F.sum(weight * F.col(c) / power(F.col(pos))).over(inside) * power(F.col(pos)))
-        # the value at the end of the previous block, two blocks deep; older ones are below 1e-17
-        end = F.col(pos) == size - 1
-        ends = w.rowsBetween(Window.unboundedPreceding, -1)
-        last1 = F.last(F.when(end, F.col(f"_{name}_l")), ignorenulls=True).over(ends)
-        carried = F.when(F.col(block) > 0, last1 * power(F.col(pos) + 1))
-        out = out.withColumn(name, F.when(F.col(marks[c]) >= n, F.col(f"_{name}_l") + F.coalesce(carried, F.lit(0.0))))
-        out = out.drop(block, pos, f"_{name}_l")
-    return out.drop(*marks.values())
+        power = lambda e: F.pow(F.lit(1 - 1 / n), e.cast("double"))
+        scale = power(F.pmod(F.col(place), F.lit(size))) * F.exp(F.col(beyond) + F.floor(-F.col(beyond) / BLOCK_DECAY) * BLOCK_DECAY)
+        weight = F.when(F.col(gap).isNull(), F.lit(1.0)).when(late, 1 - F.exp(F.col(extra) + unit)).otherwise(F.lit(1 / n))
+        out = out.withColumn(local, F.sum(F.when(there, weight * F.col(c) / scale)).over(inside) * scale)
+        # the last sum of the block before, at the row where the block changes
+        step = F.lag(F.struct(local, place, beyond, block)).over(w)
+        turned = F.when(step[block] < F.col(block), F.struct(step[local].alias("v"), step[place].alias("p"), step[beyond].alias("e")))
+        out = out.withColumn(carried, F.last(turned, ignorenulls=True).over(upto))
+        decay = power(F.col(place) - F.col(f"{carried}.p")) * F.exp(F.col(beyond) - F.col(f"{carried}.e"))
+        value = F.col(local) + F.coalesce(F.col(f"{carried}.v") * decay, F.lit(0.0))
+        out = out.withColumn(name, F.when(F.col(seen) >= n, value)).drop(seen, gap, extra, place, beyond, block, local, carried)
+    return out.drop("_row")
 
 
 def true_range(w: Window) -> Column:
