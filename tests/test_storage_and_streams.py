@@ -91,3 +91,18 @@ def test_stream_upsert_is_replayable(spark, tmp_path):
     merge(batch, 0)
     merge(batch, 0)
     assert rows(spark.read.parquet(path), "k", "v") == [("a", 2.0)]
+
+
+def test_upserts_do_not_depend_on_row_order_or_batches(spark, tmp_path):
+    schema = StructType.fromDDL("k int, at int, v string")
+    events = [(1, 5, "new"), (1, 3, "old"), (2, 1, "a"), (1, 5, "newer"), (2, 4, "b"), (2, 2, "late"), (1, 1, "oldest")]
+    seen = set()
+    for n, split in enumerate(([events], [events[:1], events[1:]], [[e] for e in events], [[e] for e in reversed(events)])):
+        path = str(tmp_path / f"t{n}")
+        merge = jobs.upsert_stream(None, path, ["k"], "at", schema)
+        for i, batch in enumerate(split):
+            merge(spark.createDataFrame(batch, schema), i)
+        merge(spark.createDataFrame(split[-1], schema), len(split))  # a replay changes nothing
+        seen.add(tuple(rows(spark.read.parquet(path))))
+        assert os.listdir(tmp_path) and not [f for f in os.listdir(tmp_path) if ".new-" in f or ".old-" in f]
+    assert seen == {((1, 5, "newer"), (2, 4, "b"))}

@@ -3,6 +3,7 @@ every fit and every prediction is a distributed job, and fold results are writte
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -10,6 +11,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.scalar import clipped, log_cap, not_nan
 from tidemark.operators.metrics import average_precision, roc_auc, top_decile_recall
@@ -48,13 +50,13 @@ def fold_dates(data: DataFrame, horizon: int = HORIZON, min_train: int = MIN_TRA
     return [(dates[i - horizon], dates[i : i + every]) for i in range(horizon + min_train, len(dates), every)]
 
 
-def walk_forward(data: DataFrame, *, every: int = 1, trees: int = 200, depth: int = 4, rate: float = 0.05, horizon: int = HORIZON, min_train: int = MIN_TRAIN_DATES, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def walk_forward(data: DataFrame, *, every: int = 1, trees: int = 200, depth: int = 4, rate: float = 0.05, leaf: int = 100, horizon: int = HORIZON, min_train: int = MIN_TRAIN_DATES, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Predictions (symbol, as_of, ml_score) and importances (feature, importance) summed over the folds."""
     spark = data.sparkSession
     features = [c for c in data.columns if c not in ("symbol", "as_of", "target")]
     vector = VectorAssembler(inputCols=features, outputCol="features")
     ready = staged(vector.transform(data.fillna(MISSING, subset=features)).select("symbol", "as_of", "target", "features"), "vectors")
-    model = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed)
+    model = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=leaf, seed=seed)
     parts, weights = [], [0.0] * len(features)
     for last, ahead in fold_dates(data, horizon, min_train, every):
         fitted = model.fit(ready.where((F.col("as_of") <= F.lit(last)) & F.col("target").isNotNull()))
@@ -62,9 +64,8 @@ def walk_forward(data: DataFrame, *, every: int = 1, trees: int = 200, depth: in
         parts.append(staged(scored, "fold"))
         weights = [a + b for a, b in zip(weights, fitted.featureImportances.toArray())]
     total = sum(weights) or 1.0
-    predictions = parts[0]
-    for p in parts[1:]:
-        predictions = predictions.unionByName(p)
+    none = spark.createDataFrame([], StructType([data.schema["symbol"], data.schema["as_of"], StructField("ml_score", DoubleType())]))
+    predictions = reduce(DataFrame.unionByName, parts, none)
     return predictions, spark.createDataFrame([(f, float(w / total)) for f, w in zip(features, weights)], "feature string, importance double")
 
 
@@ -81,10 +82,10 @@ def model_inputs(df: DataFrame, features: Sequence[str]) -> list[Column]:
     return out
 
 
-def _trees(features: Sequence[str], label: str, trees: int, seed: int) -> Pipeline:
+def _trees(features: Sequence[str], label: str, trees: int, seed: int, leaf: int) -> Pipeline:
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.03, subsamplingRate=0.8, seed=seed),
+        GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=leaf, seed=seed),
     ])
 
 
@@ -101,7 +102,7 @@ def _probability() -> Column:
     return vector_to_array("probability")[1].alias("p")
 
 
-def walk_forward_years(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], *, first_year: int, embargo_days: int = 0, trees: int = 200, seed: int = 7, min_test: int = 10, min_train: int = 100) -> DataFrame:
+def walk_forward_years(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], *, first_year: int, embargo_days: int = 0, trees: int = 200, seed: int = 7, min_test: int = 10, min_train: int = 100, leaf: int = 20) -> DataFrame:
     """Expanding window, one fold per year: train on rows before January 1 less the embargo. Folds that are
     too small or hold one class only are skipped. (keys, year, y, p)"""
     ready = df.where(F.col(target).isNotNull()).select(*keys, "rec_date", "year", F.col(target).cast("double").alias("y"), *model_inputs(df, features))
@@ -114,15 +115,13 @@ def walk_forward_years(df: DataFrame, features: Sequence[str], target: str, keys
         sizes = [t.agg(F.count(F.lit(1)), F.min("y"), F.max("y")).first() for t in (train, test)]
         if sizes[0][0] < min_train or sizes[1][0] < min_test or any(s[1] == s[2] for s in sizes):
             continue
-        fitted = _trees(features, "y", trees, seed).fit(train)
+        fitted = _trees(features, "y", trees, seed, leaf).fit(train)
         parts.append(staged(fitted.transform(test).select(*keys, "year", "y", _probability()), "fold"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    none = ready.select(*keys, "year", "y", F.col("y").alias("p")).limit(0)
+    return reduce(DataFrame.unionByName, parts, none)
 
 
-def compare_models(df: DataFrame, feature_sets: dict[str, Sequence[str]], keys: Sequence[str], *, train_end: int, val_end: int, label: str = "is_pick", cohort: str = "rec_date", trees: int = 300, seed: int = 7) -> DataFrame:
+def compare_models(df: DataFrame, feature_sets: dict[str, Sequence[str]], keys: Sequence[str], *, train_end: int, val_end: int, label: str = "is_pick", cohort: str = "rec_date", trees: int = 300, seed: int = 7, leaf: int = 30) -> DataFrame:
     """Time split, never random: logistic (median fill, standardised) and trees on each feature set, scored
     on validation and test years."""
     results = []
@@ -135,7 +134,7 @@ def compare_models(df: DataFrame, feature_sets: dict[str, Sequence[str]], keys:
                 fitted = _logistic(features, "y", train.count()).fit(train)
                 scored = fitted.transform(held)
             else:
-                fitted = _trees(features, "y", trees, seed).fit(train.fillna(-1e6, subset=list(features)))
+                fitted = _trees(features, "y", trees, seed, leaf).fit(train.fillna(-1e6, subset=list(features)))
                 scored = fitted.transform(held.fillna(-1e6, subset=list(features)))
             scored = staged(scored.select(*keys, cohort, "split", "y", _probability()), "scored")
             quality = roc_auc(scored, ["split"], "y", "p").join(average_precision(scored, ["split"], "y", "p"), "split")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -70,6 +71,12 @@ def rebalance(scores: DataFrame, forward: DataFrame, column: str, n: int, cost_b
     return out.select("as_of", *cols, *(["sector_benchmark"] if benchmark_for is not None else []))
 
 
+def average_turnover(strategies: dict[str, DataFrame]) -> DataFrame:
+    """(name, turnover): each strategy's mean over its own dates, the first purchase included."""
+    parts = [table.agg(F.avg("turnover").alias("turnover")).select(F.lit(name).alias("name"), "turnover") for name, table in strategies.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def universe_returns(scores: DataFrame, forward: DataFrame) -> DataFrame:
     """Equal-weight return of the scored symbols per date."""
     return scores.select("as_of", "symbol").join(forward, ["as_of", "symbol"], "left").groupBy("as_of").agg(F.avg("fwd").alias("universe"))

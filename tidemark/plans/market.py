@@ -288,6 +288,11 @@ SELECT * FROM (SELECT as_of, symbol, row_number() OVER (PARTITION BY as_of ORDER
 WHERE pick <= 10 AND as_of IN (SELECT as_of FROM forward WHERE fwd IS NOT NULL)
 """)
 define("books", "SELECT as_of, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY as_of) AS w, dense_rank() OVER (ORDER BY as_of) AS i FROM picks")
+define("momentum_books", """
+SELECT as_of, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY as_of) AS w, dense_rank() OVER (ORDER BY as_of) AS i FROM (
+ SELECT as_of, symbol, row_number() OVER (PARTITION BY as_of ORDER BY momentum DESC, symbol) AS pick FROM member_scores WHERE momentum IS NOT NULL)
+WHERE pick <= 10 AND as_of IN (SELECT as_of FROM forward WHERE fwd IS NOT NULL)
+""")
 define("strategy_rows", """
 SELECT as_of, gross - traded * 10 / 1e4 AS strategy, traded / 2 AS turnover, sector_benchmark FROM
  (SELECT b.as_of, b.i, avg(f.fwd) AS gross, avg(e.fwd) AS sector_benchmark FROM books b LEFT JOIN forward f USING (as_of, symbol)
@@ -312,6 +317,18 @@ def rebalance(lake: Lake) -> DataFrame:
     return rounded(strategy(lake))
 
 
+@query("A30", """
+SELECT 'top10_total' AS name, round(avg(turnover), 6) AS turnover FROM strategy_rows
+UNION ALL SELECT 'top10_momentum', round(avg(traded) / 2, 6) FROM (
+ SELECT i, sum(abs(w - pw)) AS traded FROM (SELECT coalesce(a.i, b.i + 1) AS i, coalesce(a.w, 0) AS w, coalesce(b.w, 0) AS pw FROM momentum_books a FULL JOIN momentum_books b ON b.symbol = a.symbol AND b.i = a.i - 1)
+ WHERE i <= (SELECT max(i) FROM momentum_books) GROUP BY i)
+""")
+def strategy_turnover(lake: Lake) -> DataFrame:
+    fwd, scored = staged(forward(lake), "forward"), staged(member_scores(lake), "scores")
+    held = {f"top10_{c}": staged(pf.rebalance(scored, fwd, c, 10, 10.0), "held") for c in ("total", "momentum")}
+    return rounded(pf.average_turnover(held))
+
+
 @query("A10", "SELECT as_of, round(avg(fwd), 6) AS universe FROM member_scores LEFT JOIN forward USING (as_of, symbol) GROUP BY as_of")
 def universe_return(lake: Lake) -> DataFrame:
     return rounded(pf.universe_returns(member_scores(lake), forward(lake)))

@@ -45,7 +45,7 @@ def stream_smoothing(lake: Lake) -> DataFrame:
     """Smoothing over closed hour bars: bars are a stream-written table, read again as a stream."""
     closed = jobs.run_to_table(jobs.tick_bars(tick_stream(lake), 60), "hours").select("symbol", F.col("w.start").alias("ts"), "close")
     table = staged(closed, "closed")
-    again = lake.spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    again = lake.spark.readStream.schema(table.schema).parquet(table.staged_path)
     out = jobs.run_to_table(jobs.smoothing(again, 14), "smooth")
     return rounded(out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "smoothed"))
 

@@ -29,15 +29,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-# runtime settings that change no result; applied to sessions this package did not build
-_TUNING = [
-    "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin",
-]
+# what results depend on; set in sessions this package did not build as well
+_NEEDED = ["spark.sql.session.timeZone", "spark.sql.sources.partitionColumnTypeInference.enabled"]
+# how joins run; left alone where the session's builder chose a value
+_TUNING = ["spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"]
 
 
 def tune(spark: SparkSession) -> None:
-    for key in _TUNING:
+    chosen = spark.sparkContext.getConf()
+    for key in _NEEDED + [k for k in _TUNING if not chosen.contains(k)]:
         spark.conf.set(key, SETTINGS[key])
 
 

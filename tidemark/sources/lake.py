@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.session import scratch_root
+from tidemark.staging import discard, staged
 
 
 def read_symbol(table: DataFrame, symbol: str) -> DataFrame:
@@ -26,14 +26,17 @@ def latest_partitions(table: DataFrame, n: int, date: str = "date") -> DataFrame
     return table.join(newest, date, "left_semi")
 
 
-def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
-    """Existing and new rows with one row per key: new beats existing, and within one side the highest
-    `seq` wins. A plain aggregation, so a hot key collapses before the shuffle."""
+def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None, newest: bool = False) -> DataFrame:
+    """Existing and new rows with one row per key. New beats existing; with `newest` the highest `seq` wins wherever
+    it stands, so neither a late older row nor the order of batches changes anything. Within one side the highest `seq` wins, then the largest row, so
+    the result never depends on row order. The planner sorts by key before and after the one shuffle; rows of a key
+    collapse before it."""
     both = existing.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)), allowMissingColumns=True)
     columns = [c for c in both.columns if c != "_v"]
     rest = [c for c in columns if c not in keys]
-    order = F.struct("_v", *( [seq] if seq else []))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    row = F.struct(*rest)
+    first = [seq] if seq and newest else ["_v", *([seq] if seq else [])]
+    best = both.groupBy(*keys).agg(F.max_by(row, F.struct(*first, row)).alias("_r"))
     return best.select(*keys, "_r.*").select(*columns)
 
 
@@ -44,30 +47,29 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, last: bool = T
     return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], schema: StructType, partition_by: str | None = None) -> None:
-    """Upsert into a parquet table. The merged rows are staged first, so the table is never read while it
-    is overwritten; with `partition_by` only the touched partitions are rewritten."""
-    try:
-        existing = spark.read.schema(schema).parquet(path)
-        existing.take(1)
-    except Exception as error:  # noqa: BLE001 - only a missing table means "empty"
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        existing = None
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], schema: StructType, partition_by: str | None = None, seq: str | None = None, newest: bool = False) -> None:
+    """Upsert into a parquet table by the rule of `upserted`, the first write included. The merged rows are staged
+    first. With `partition_by` only touched partitions are rewritten; a whole table is written beside the old one and
+    takes its place by renaming, so readers find one or the other."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     new = new.select(*schema.fieldNames())
-    if existing is not None:
-        if partition_by:
-            touched = new.select(partition_by).distinct()
-            existing = existing.join(touched, partition_by, "left_semi")
-        merged = upserted(existing, new, keys)
-    else:
-        merged = keep_one(new, keys, [c for c in new.columns if c not in keys])
-    stage = f"{scratch_root(spark)}/upsert-{uuid.uuid4().hex}"
-    merged.write.parquet(stage)
-    writer = spark.read.schema(merged.schema).parquet(stage).write.mode("overwrite")
+    existing = spark.read.schema(schema).parquet(path) if files.exists(target) else new.limit(0)
+    if partition_by:
+        existing = existing.join(new.select(partition_by).distinct(), partition_by, "left_semi")
+    merged = staged(upserted(existing, new, keys, seq, newest), "upsert")
     if partition_by:
-        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+        merged.write.mode("overwrite").partitionBy(partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        mark = uuid.uuid4().hex
+        fresh, old = hadoop(f"{path}.new-{mark}"), hadoop(f"{path}.old-{mark}")
+        merged.write.parquet(f"{path}.new-{mark}")
+        if files.exists(target):
+            files.rename(target, old)
+        files.rename(fresh, target)
+        files.delete(old, True)
+    discard(merged)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:

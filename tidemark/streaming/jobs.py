@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.indicators import OPEN_MINUTE, intraday_window
 from tidemark.session import scratch_root
-from tidemark.sources.lake import keep_one, upsert_table
+from tidemark.sources.lake import upsert_table
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -65,12 +65,11 @@ def smoothing(bars: DataFrame, n: int, value: str = "close") -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], seq: str, schema: StructType) -> Callable[[DataFrame, int], None]:
-    """Batch function for `foreachBatch`: the newest row per key of the batch beats the stored one. Replaying
-    a batch gives the same table."""
+    """Batch function for `foreachBatch`: per key the row with the highest `seq` stays, of the batch or of the table, so
+    late rows and replayed batches change nothing and any split into batches gives the same table."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        newest = keep_one(batch, keys, [seq])
-        upsert_table(batch.sparkSession, path, newest.select(*schema.fieldNames()), keys, schema)
+        upsert_table(batch.sparkSession, path, batch, keys, schema, seq=seq, newest=True)
 
     return merge
 
