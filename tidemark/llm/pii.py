@@ -31,21 +31,42 @@ SPAN = "array<struct<start:int,stop:int,match:string,left:string,right:string>>"
 CONTEXT = 48
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often a function over elements reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str, guard: Column) -> Column:
-    """Leftmost non-overlapping matches with their code-point places and the neighbouring words."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Leftmost non-overlapping matches with their code-point places and the neighbouring words.
+
+    Places are running sums over the pieces between matches. They are built in blocks of about the square root of the
+    number of matches, so a text with very many of them does not copy a growing array once per match.
+    """
+    def add(acc, m):
+        first = acc["at"] + F.length(m["before"])
+        stop = first + F.length(m["match"])
+        left = F.lower(F.regexp_extract(F.substring(m["before"], -CONTEXT, CONTEXT), r"(\S+)\s*$", 1))
+        right = F.lower(F.regexp_extract(F.substring(m["after"], 1, CONTEXT), r"^\s*(\S+)", 1))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), stop.alias("stop"), m["match"].alias("match"), left.alias("left"), right.alias("right")))).alias("out"))
+
+    def placed(matches):
+        n = F.size(matches)
+        width = F.ceil(F.sqrt(n)).cast("int")
+
+        def block(acc, b):
+            done = F.coalesce(F.element_at(F.try_element_at(acc, F.lit(-1)), -1)["stop"], F.lit(0))
+            rows = F.slice(matches, b * width + 1, width)
+            return F.concat(acc, F.array(F.aggregate(rows, F.struct(done.alias("at"), F.array().cast(SPAN).alias("out")), add, lambda x: x["out"])))
+
+        made = F.aggregate(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), F.array().cast(f"array<{SPAN}>"), block, F.flatten)
+        return F.when(n > 0, made).otherwise(F.array().cast(SPAN))
 
-    def add(acc, i):
-        before, match, after = F.get(pieces, i), F.get(found, i), F.get(pieces, i + 1)
-        first = acc["at"] + F.length(before)
-        stop = first + F.length(match)
-        left = F.lower(F.regexp_extract(F.substring(before, -CONTEXT, CONTEXT), r"(\S+)\s*$", 1))
-        right = F.lower(F.regexp_extract(F.substring(after, 1, CONTEXT), r"^\s*(\S+)", 1))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), stop.alias("stop"), match.alias("match"), left.alias("left"), right.alias("right")))).cast(SPAN).alias("out"))
+    def zipped(pieces):
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        n = F.size(pieces) - 1
+        return bound(F.arrays_zip(F.slice(pieces, 1, n).alias("before"), found.alias("match"), F.slice(pieces, 2, n).alias("after")), placed)
 
-    made = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add, lambda acc: acc["out"])
-    return F.when(guard & (F.size(found) > 0), made).otherwise(F.array().cast(SPAN))
+    return F.when(guard, bound(F.split(text, pattern, -1), zipped)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(match: Column) -> Column:
@@ -114,7 +135,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, bar: float
     kinds = F.concat(*[_tagged(k) for k in KINDS])
     base = scanned.select("doc_id", "mark", F.explode(kinds).alias("s")).select("doc_id", "mark", "s.*")
     # tokens that touch no base span, without the punctuation around them
-    free = F.filter("token", lambda t: ~F.exists(kinds, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
+    free = bound(kinds, lambda known: F.filter("token", lambda t: ~F.exists(known, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))))
     others = scanned.select("doc_id", "mark", F.explode(free).alias("s")).select("doc_id", "mark", "s.*")
     lead = F.length(F.regexp_extract("match", r"^[^0-9A-Za-z@+]*", 0))
     core = F.regexp_extract("match", r"[0-9A-Za-z@+](?:.*[0-9A-Za-z])?", 0)
