@@ -214,7 +214,7 @@ def test_containment_join_is_exact(spark):
 
 
 # --- 7 -------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("block", [4, 4096])
+@pytest.mark.parametrize("block", [64, 4096])
 def test_exact_groups(docs, rows, block):
     import hashlib
     import re

@@ -22,7 +22,7 @@ from tidemark.llm.labelled import sample
 from tidemark.llm.shingles import FOLD, mixed
 
 #: bounds of the fit: labelled documents, kept features, folds, and the share of documents a feature may stand in
-TRAIN_ROWS, FEATURES, FOLDS, COMMON = 8_000, 2_000, 4, 0.1
+TRAIN_ROWS, FEATURES, FOLDS, COMMON = 8_000, 2_000, 4, 0.5
 CATEGORIES = ["low_quality", "toxic", "toxic_low_quality"]
 #: lengths of the leading letters (bytes) that are features besides the whole word
 STEMS = (4, 5, 6)
