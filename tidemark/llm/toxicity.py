@@ -88,7 +88,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
+def _fit(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-2, steps: int = 200) -> np.ndarray:
     """Weights [features, extra columns, bias] of a ridge logistic regression by Adam over all rows."""
     n, m = len(y), width + extra.shape[1] + 1
     w, first, second = np.zeros(m), np.zeros(m), np.zeros(m)
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]] | None, c
     return picked.mapInArrow(score, ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"{n} double" for n in names]))
 
 
-def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, bar: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
     """Per row: doc_id, the chain's probabilities and `rejected` (P(toxic) >= bar).
 
     Null and empty texts have no words and are scored by the models' constants. Without labels nothing is rejected.
@@ -198,7 +198,7 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, bar: flo
     return scored(base, trained(train_docs, labels), ["doc_id"]).withColumn("rejected", F.col("p_toxic") >= bar)
 
 
-def without_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, bar: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
     """`docs` without rejected documents; the columns stay as they came, whatever their names."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
     return scored(whole, trained(train_docs, labels), ["doc"]).where(F.col("p_toxic") < bar).select("doc.*")
