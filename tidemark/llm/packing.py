@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.tokens import WordEncoder, with_end
+from tidemark.llm.tokens import WordEncoder, parts as text_parts, with_end
 from tidemark.staging import discard, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        for batch in batches:
+        for batch in text_parts(batches):
             bounds, ids = with_end(*encoder.batch(batch.column(1)), end_id)
             sizes = np.diff(bounds)
             n = -(-sizes // capacity)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.tokens import WordEncoder, with_end
+from tidemark.llm.tokens import WordEncoder, parts as text_parts, with_end
 from tidemark.session import scratch_root
 from tidemark.staging import staged
 
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         part, (system, base) = TaskContext.get().partitionId(), _opened(folder)
         at = f"{base}/part-{part:05d}"
         attempt = f"{at}.{uuid.uuid4().hex}"
-        for batch in batches:
+        for batch in text_parts(batches):
             bounds, ids = with_end(*encoder.batch(batch.column(1)), end_id)
             if stream is None:
                 system.create_dir(base, recursive=True)

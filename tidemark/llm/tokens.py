@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import itertools
 import json
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ import pyarrow.compute as pc
 from tidemark.llm.common import ramp, worker_cache
 
 #: chunks kept per worker before the cache starts anew; bounds a worker's memory
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
+#: texts encoded at once; bounds the arrays beside the batch
+TEXTS_AT_ONCE = 2048
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,7 +47,7 @@ class WordEncoder:
         cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         if [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and cut[0].get("behavior") == "Removed" and cut[0].get("invert"):
             self.pieces = regex.compile(cut[0]["pattern"]["Regex"])
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -77,10 +81,10 @@ class WordEncoder:
         for word in coded.dictionary.to_pylist():
             ids = cache.get(word)
             if ids is None:
-                ids = cache[word] = self.chunk(word) if word else []
+                ids = cache[word] = array("I", self.chunk(word)).tobytes() if word else b""
             known.append(ids)
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter(itertools.chain.from_iterable(known), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), np.uint32)
         at = coded.indices.to_numpy(zero_copy_only=False)
         of_word = lengths[at] if len(at) else np.zeros(0, np.int64)
         flat = ids[ramp((np.cumsum(lengths) - lengths)[at], of_word)] if len(at) else np.zeros(0, np.uint32)
@@ -95,3 +99,10 @@ def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarr
     out = np.full(int(bounds[-1]), end_id, np.uint32)
     out[ramp(bounds[:-1], counts)] = ids
     return bounds, out
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most TEXTS_AT_ONCE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
