@@ -213,6 +213,31 @@ def test_containment_join_is_exact(spark):
     assert got == want
 
 
+def test_templates_match_across_lines(spark):
+    r = random.Random(8)
+    mit, gpl = licenses.TEMPLATES[0][1].split(), next(t for label, t in licenses.TEMPLATES if label == "gpl-3").split()
+    wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    long = [f"l{i}" for i in range(150)]  # more than a block of words
+    filler = " ".join(f"f{i}" for i in range(300))
+    rows = [(1, "# " + wrap(mit, 10).replace("\n", "\n# ")), (2, wrap(gpl, 9)), (3, filler + "\n" + wrap(gpl, 4) + "\n" + filler), (4, wrap([x for w in gpl for x in [w] + ["x"] * 3], 5)),
+            (5, filler + " " + " ".join(long[:130]) + " " + filler), (6, " ".join(long[:100]))]
+    got = {x.doc_id: x for x in licenses.license_scan(frame(spark, rows), templates=licenses.TEMPLATES + [("long", " ".join(long))]).collect()}
+    assert [got[i].labels for i, _ in rows] == ["mit", "gpl-3", "gpl-3", "", "long", ""]
+    assert [got[i].score for i, _ in rows] == [1.0, 1.0, 1.0, 0.0, 130 / 150, 0.0]
+    # against all stretches, one by one
+    templates = [("a", "t1 t2 t3 t4 t5"), ("b", "t4 t5 t6 t7 t8 t9 t10"), ("c", "t1 t9 t11")]
+    texts = [(i, wrap([f"t{r.randrange(1, 30)}" for _ in range(r.randrange(0, 90))], 4)) for i in range(60)]
+    want = set()
+    for i, t in texts:
+        w = t.split()
+        for label, template in templates:
+            whole, reach = set(template.split()), licenses.REACH * len(template.split())
+            share = max((len(whole & set(w[k:k + reach])) / len(whole) for k in range(len(w))), default=0)
+            if share >= 0.6 - 1e-9:
+                want.add((i, label, round(share, 9)))
+    assert {(x.doc_id, x.label, round(x.containment, 9)) for x in licenses.stretch_matches(frame(spark, texts), templates, 0.6).collect()} == want and want
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [64, 4096])
 def test_exact_groups(docs, rows, block):

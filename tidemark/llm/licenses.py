@@ -1,7 +1,10 @@
 """License scans (operator 6): base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a stretch of a longer line (BLOCK words, half of them shared with the next). A template matches
-a block that holds at least `threshold` of its distinct tokens. Tokens are ordered by their frequency over the whole
+Two kinds of blocks are met. One is a line, or a stretch of a longer line (BLOCK words, half of them shared with the
+next); a template matches it if it holds at least `threshold` of the template's distinct tokens. The other is cut from
+the words of the whole text, whatever its lines: a template of m words also matches where some stretch of at most
+REACH * m words of the text holds that many of its tokens, so that wrapped notices and full license texts are found.
+These blocks have twice the reach of the longest template and overlap by half, so every stretch lies within one. Tokens are ordered by their frequency over the whole
 corpus, rarest first; of a template with n tokens that needs k of them, a matching block must hold one of the first
 n - k + 1 (prefix filter) and at least k template tokens (length filter), and from the first common token on enough
 must be left on both sides (positional filter). What passes is verified on the whole sets. Only expressions of the
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,6 +36,8 @@ TEMPLATES = [
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
 ]
 BLOCK = 64
+#: a stretch of the whole text has at most so many times the words of the template
+REACH = 2
 
 
 def _key(column="text"):
@@ -46,37 +52,82 @@ def blocks(docs: DataFrame) -> DataFrame:
     return long_.where(F.size("w") > 0).select("doc_id", "mark", F.struct("line", "part").alias("block"), "w")
 
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, mark, block, label, containment): every (block, template) pair at or above the threshold."""
-    spark: SparkSession = docs.sparkSession
-    sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
-    vocabulary = sorted({t for _, s in sets for t in s})
+def passages(docs: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, mark, block, w): overlapping blocks of the whole text's words; every `reach` words lie within one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), words(F.col("text")).alias("all"))
+    starts = F.when(F.size("all") <= 2 * reach, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("all") - reach, F.lit(reach)))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("block"), F.slice("all", i + 1, 2 * reach).alias("w")))
+    return texts.where(F.size("all") > 0).select("doc_id", "mark", F.explode(cut).alias("s")).select("doc_id", "mark", "s.*")
+
+
+class _Index(NamedTuple):
+    """The templates' tokens, ordered by their frequency over the corpus."""
+
+    vocabulary: list[str]
+    place: dict[str, int]
+    rows: list[tuple]
+    index: list[tuple]
+
+
+def _indexed(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> _Index:
+    sets = [(label, list(dict.fromkeys(text.split())), len(text.split())) for label, text in templates]
+    vocabulary = sorted({t for _, s, _ in sets for t in s})
     seen = docs.select(F.explode(words(F.col("text"))).alias("token")).where(F.col("token").isin(vocabulary)).groupBy("token").count()
     often = {r["token"]: r["count"] for r in seen.collect()}  # a row per template token
     place = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (often.get(t, 0), t)))}
     rows, index = [], []
-    for i, (label, tokens) in enumerate(sets):
+    for i, (label, tokens, length) in enumerate(sets):
         ordered = sorted(tokens, key=place.__getitem__)
         need = math.ceil(threshold * len(ordered) - 1e-9)
-        rows.append((i, label, ordered, len(ordered), need))
+        rows.append((i, label, ordered, len(ordered), need, REACH * length))
         index += [(t, i, at) for at, t in enumerate(ordered[:len(ordered) - need + 1])]
-    prefix = F.array(*[F.lit(t) for t in sorted({t for t, _, _ in index})])
-    ranks = F.create_map(*[x for t, r in place.items() for x in (F.lit(t), F.lit(r))])
+    return _Index(vocabulary, place, rows, index)
+
+
+def _met(spark: SparkSession, cut: DataFrame, known: _Index) -> DataFrame:
+    """(doc_id, mark, block, template, label, n, need, reach, w, whole, common): blocks with enough of a template."""
+    prefix = F.array(*[F.lit(t) for t in sorted({t for t, _, _ in known.index})])
+    ranks = F.create_map(*[x for t, r in known.place.items() for x in (F.lit(t), F.lit(r))])
     # the block's template tokens in global order
-    held = F.array_sort(F.array_distinct(F.transform(F.filter("w", lambda x: F.array_contains(F.lit(vocabulary), x)), lambda x: F.struct(F.element_at(ranks, x).alias("rank"), x.alias("token")))))
-    candidates = blocks(docs).where(F.arrays_overlap("w", prefix)).select("doc_id", "mark", "block", held.alias("held"))
-    entries = candidates.select("doc_id", "mark", "block", F.col("held.token").alias("tokens"), F.posexplode("held").alias("at", "entry"))
-    known = F.broadcast(spark.createDataFrame(index, "token string, template int, place int"))
-    texts = F.broadcast(spark.createDataFrame(rows, "template int, label string, whole array<string>, n int, need int"))
-    met = entries.withColumn("token", F.col("entry.token")).join(known, "token").join(texts, "template")
+    held = F.array_sort(F.array_distinct(F.transform(F.filter("w", lambda x: F.array_contains(F.lit(known.vocabulary), x)), lambda x: F.struct(F.element_at(ranks, x).alias("rank"), x.alias("token")))))
+    candidates = cut.where(F.arrays_overlap("w", prefix)).select("doc_id", "mark", "block", "w", held.alias("held"))
+    entries = candidates.select("doc_id", "mark", "block", "w", F.col("held.token").alias("tokens"), F.posexplode("held").alias("at", "entry"))
+    index = F.broadcast(spark.createDataFrame(known.index, "token string, template int, place int"))
+    texts = F.broadcast(spark.createDataFrame(known.rows, "template int, label string, whole array<string>, n int, need int, reach int"))
+    met = entries.withColumn("token", F.col("entry.token")).join(index, "token").join(texts, "template")
     length = F.size("tokens") >= F.col("need")
     position = 1 + F.least(F.col("n") - F.col("place") - 1, F.size("tokens") - F.col("at") - 1) >= F.col("need")
-    # of several common prefix tokens the first decides; it is the one with the least place
-    first = met.where(length & position).groupBy("doc_id", "mark", "block", "template", "label", "n", "need").agg(F.first("tokens").alias("tokens"), F.first("whole").alias("whole"))
-    scored = first.withColumn("common", F.size(F.array_intersect("tokens", "whole"))).where("common >= need")
+    # one row per (block, template), however many prefix tokens they share
+    first = met.where(length & position).withColumn("common", F.size(F.array_intersect("tokens", "whole"))).where("common >= need")
+    return first.groupBy("doc_id", "mark", "block", "template", "label", "n", "need", "reach").agg(F.first("w").alias("w"), F.first("whole").alias("whole"), F.first("common").alias("common"))
+
+
+def _by_block(docs: DataFrame, known: _Index) -> DataFrame:
+    scored = _met(docs.sparkSession, blocks(docs), known)
     return scored.select("doc_id", "mark", "block", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
+def _by_stretch(docs: DataFrame, known: _Index) -> DataFrame:
+    # a block of the whole text is a candidate; what counts is the best stretch within it
+    longest = max((row[-1] for row in known.rows), default=REACH)
+    met = _met(docs.sparkSession, passages(docs, longest), known)
+    places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda p: F.array_contains("whole", p["token"]))
+    within = lambda p: F.filter("places", lambda q: (q["at"] >= p["at"]) & (q["at"] < p["at"] + F.col("reach")))
+    best = F.array_max(F.transform("places", lambda p: F.size(F.array_distinct(F.transform(within(p), lambda q: q["token"])))))
+    scored = met.withColumn("places", places).withColumn("best", best).where("best >= need")
+    return scored.groupBy("doc_id", "mark", "template", "label").agg(F.max(F.col("best") / F.col("n")).alias("containment")).drop("template")
+
+
+def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, mark, block, label, containment): every (block of a line, template) pair at or above the threshold."""
+    return _by_block(docs, _indexed(docs, templates, threshold))
+
+
+def stretch_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, mark, label, containment): every (text, template) pair with a stretch at or above the threshold."""
+    return _by_stretch(docs, _indexed(docs, templates, threshold))
+
+
 def _places(tokens: list[str], label: str, stands: Column) -> Column:
     """Where the tokens stand in a row in `w`; looked for one by one only where the phrase stands in the text."""
     def here(i):
@@ -92,7 +143,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Base places are where a phrase's words stand in a row; the score is 1 with any of them, else the best containment
-    of a matching template, else 0. Null texts have no words. Rows with null or repeated ids are told apart by their
+    of a template that matches a line or a stretch of the whole text, else 0. Null texts have no words. Rows with null or repeated ids are told apart by their
     text, and equal rows get equal results.
     """
     text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
@@ -100,7 +151,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     none = F.array().cast("array<struct<at:int,label:string>>")
     found = F.concat(none, *[F.coalesce(_places(phrase.split(), label, F.contains(text, F.lit(f" {phrase} "))), none) for phrase, label in phrases.items()])
     scanned = base.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), found.alias("found"))
-    extra = template_matches(docs, templates, threshold).groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    known = _indexed(docs, templates, threshold)
+    matches = _by_block(docs, known).drop("block").unionByName(_by_stretch(docs, known))
+    extra = matches.groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     extra = extra.select(F.col("doc_id").alias("x_id"), F.col("mark").alias("x_mark"), "more", "best")
     joined = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("mark") == F.col("x_mark")), "left")
     own = F.array_distinct(F.col("found.label"))
@@ -112,4 +165,4 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         F.when(F.size("found") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
 
 
-__all__ = ["PHRASES", "TEMPLATES", "blocks", "license_scan", "template_matches"]
+__all__ = ["PHRASES", "TEMPLATES", "blocks", "license_scan", "passages", "stretch_matches", "template_matches"]
