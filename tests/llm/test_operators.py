@@ -238,6 +238,27 @@ def test_templates_match_across_lines(spark):
     assert {(x.doc_id, x.label, round(x.containment, 9)) for x in licenses.stretch_matches(frame(spark, texts), templates, 0.6).collect()} == want and want
 
 
+def test_usual_notices_are_labelled(spark):
+    notices = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "gpl-3"),
+        ("Licensed under the GNU General Public License, version 2.", "gpl-2"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE", "lgpl"),
+        ("under the GNU Affero General Public License", "agpl"),
+        ("Licensed under the BSD License.", "bsd"),
+        ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "bsd"),
+        ("Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", "bsd-3"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2"),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+        ("CC0 1.0 Universal", "cc0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+        ("public licence of the general, version 3", ""),
+    ]
+    got = {x.doc_id: x for x in licenses.license_scan(frame(spark, [(i, t) for i, (t, _) in enumerate(notices)])).collect()}
+    assert [got[i].labels for i in range(len(notices))] == [label for _, label in notices]
+    assert all(got[i].score == (1.0 if label else 0.0) for i, (_, label) in enumerate(notices))
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [64, 4096])
 def test_exact_groups(docs, rows, block):

@@ -24,7 +24,8 @@ from tidemark.llm.words import words
 # Phrases and labels of the base scan.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Opening words of public licenses, and usual one-line notices.
+# Opening words of public licenses, and usual notices. Where one word tells licenses apart (a version, "lesser") the
+# template has at most four tokens, so that at a threshold of 0.8 all of them must be there.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the terms of the mit license"),
@@ -34,6 +35,23 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-3", "gnu public version 3"),
+    ("gpl-2", "gnu public version 2"),
+    ("lgpl", "gnu lesser general public"),
+    ("lgpl", "gnu library general public"),
+    ("agpl", "gnu affero general public"),
+    ("bsd", "licensed under bsd license"),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mpl-2", "mozilla public license 2"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("cc", "licensed under creative commons"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc0", "cc0 1 0 universal"),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
 ]
 BLOCK = 64
 #: a stretch of the whole text has at most so many times the words of the template
