@@ -328,6 +328,16 @@ def test_contamination(spark, docs, odd, none, rows):
     assert all(rest[i] == (dict(rows)[i] or "") for i in again)
 
 
+def test_contamination_of_null_ids(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    df = frame(spark, [(None, item), (None, "clean words"), (1, item), (2, "more clean words")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {(None, 20, 20, 1, True), (1, 20, 20, 1, True), (None, 2, 0, 0, False), (2, 3, 0, 0, False)}
+    kept = decontaminate.without_contaminated(df, bench)
+    assert sorted(r.text for r in kept.collect()) == ["clean words", "more clean words"]
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 def test_personal_data(spark, odd, none):
     import hashlib

@@ -71,8 +71,9 @@ def _cover(found: DataFrame) -> DataFrame:
     spans = found.groupBy(*key, "pos").agg(F.max("size").alias("size"))
     before = F.coalesce(F.max(F.col("pos") + F.col("size")).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("pos") + F.col("size") - F.greatest("pos", before))).groupBy(*key).agg(F.sum("new").alias("n_hit"))
-    items = found.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return covered.join(items, key).select(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark"), "n_hit", "items")
+    items = found.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark"), "items")
+    # null ids meet as well
+    return covered.join(items, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark"))).select("h_id", "h_mark", "n_hit", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
