@@ -362,6 +362,14 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[101].spans == ""  # no pattern speaks for it
 
 
+def test_patterns_discover_forms_that_no_seed_has(spark):
+    seeds = [(i, f"please mail to u{i}@host.de about it") for i in range(20)] + [(100 + i, f"please call number +1 (555) 123-45{i} before noon") for i in range(10, 30)]
+    new = [(200, "please mail to admin@intranet about it"), (201, "please call number 9 (555) 123-4567 before noon"), (202, "please call number x1234 before noon"), (203, "other words admin@elsewhere stand"),
+           (204, "please mail to a@b about it"), (205, "other words a@b stand")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, seeds + new)).collect()}
+    assert got[200] == "email:15:29" and got[201] == "phone:19:35" and got[202] == "phone:19:24" and got[203] == "" and got[204] == "email:15:18" and got[205] == ""
+
+
 # --- 2 and 3 -------------------------------------------------------------------------------------
 def test_quality_is_learned_from_lines(spark, none):
     r = random.Random(0)

@@ -1,17 +1,20 @@
 """Personal data by bootstrapped contextual extraction (operator 10).
 
-Seeds are the entities that four base patterns find. Every seed induces lexical patterns: the word to its left, or to
-its right, together with its shape (letters and digits as runs). The same patterns are drawn from all other tokens
-that hold a digit or an at sign, and so a bipartite graph of patterns and instances arises. Scores go back and forth
-over it for a few rounds: a pattern is worth the mean score of its distinct instances, an instance the mean of its
-well-supported patterns, and seeds keep the score 1. Instances above the bar that at least two high-confidence
-patterns extract are new identifiers, and their places are added to the base spans.
+Seeds are the entities that four base patterns find. Every seed induces patterns: its kind with the word to its left,
+or to its right. What else stands in such a slot is a candidate, whatever its form: a token with a digit or an at sign,
+or a run of up to RUN such tokens. So a bipartite graph of patterns and instances arises, in which shapes (letters and
+digits as runs) are patterns too. Scores go back and forth over it for a few rounds: a pattern is worth the mean score
+of its distinct instances, an instance the mean of its well-supported patterns, and seeds keep the score 1. Instances
+above the bar that at least two high-confidence context patterns extract are new identifiers, and their places are
+added to the base spans; those of less than SHORT characters only where they stand in a slot.
 
 Only expressions of the engine run. Regular expressions are possessive where that cannot change a match, so that
 long runs cost linear time and no stack.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import text_of
@@ -29,6 +32,10 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 SPAN = "array<struct<start:int,stop:int,match:string,left:string,right:string>>"
 #: characters of context in which the neighbouring word is looked for
 CONTEXT = 48
+#: tokens of the longest run that is a candidate
+RUN = 4
+#: identifiers of fewer characters count only in a slot
+SHORT = 6
 
 
 def bound(value: Column, body) -> Column:
@@ -107,13 +114,34 @@ def _tagged(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["match"].alias("match"), s["left"].alias("left"), s["right"].alias("right")))
 
 
+def _runs(tokens: Column) -> Column:
+    """Every token, and every longest run of 2 to RUN tokens with one character between neighbours."""
+    def found(v):
+        def joins(i):
+            return F.coalesce(F.get(v, i - 1)["stop"] + 1 == F.get(v, i)["start"], F.lit(False))
+
+        def of(k):
+            def here(i):
+                return ~joins(i) & ~joins(i + k) & reduce(Column.__and__, [joins(i + j) for j in range(1, k)])
+
+            def run(i):
+                first, last = F.get(v, i), F.get(v, i + k - 1)
+                return F.struct(first["start"].alias("start"), last["stop"].alias("stop"), F.concat_ws(" ", *[F.get(v, i + j)["match"] for j in range(k)]).alias("match"), first["left"].alias("left"), last["right"].alias("right"))
+
+            return F.transform(F.filter(F.sequence(F.lit(0), F.size(v) - 1), here), run)
+
+        return F.when(F.size(v) > 1, F.concat(v, *[of(k) for k in range(2, RUN + 1)])).otherwise(v)
+
+    return bound(tokens, found)
+
+
 def _scores(edges: DataFrame, rounds: int, support: int) -> DataFrame:
-    """(kind, shape, match, score, patterns) of instances that are no seeds, after the given rounds."""
+    """(instance, score, patterns) of instances that are no seeds, after the given rounds."""
     scored = staged(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score")), "instances")
     for _ in range(rounds):
         # both sums are formed before the shuffle, so a word next to a third of all tokens is no hot key
         worth = edges.join(scored, "instance").groupBy("pattern").agg(F.avg("score").alias("worth"), F.sum("score").alias("mass")).where(F.col("mass") >= support)
-        heard = edges.join(worth, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.avg("worth").alias("mean"), F.count(F.when(F.col("worth") >= 0.9, 1)).alias("patterns"))
+        heard = edges.join(worth, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.avg("worth").alias("mean"), F.count(F.when((F.col("worth") >= 0.9) & (F.col("pattern.side") != "shape"), 1)).alias("patterns"))
         after = staged(heard.select("instance", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.col("mean")).alias("score"), "seed", "patterns"), "instances")
         discard(scored)
         scored = after
@@ -136,20 +164,28 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, bar: float
     base = scanned.select("doc_id", "mark", F.explode(kinds).alias("s")).select("doc_id", "mark", "s.*")
     # tokens that touch no base span, without the punctuation around them
     free = bound(kinds, lambda known: F.filter("token", lambda t: ~F.exists(known, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))))
-    others = scanned.select("doc_id", "mark", F.explode(free).alias("s")).select("doc_id", "mark", "s.*")
-    lead = F.length(F.regexp_extract("match", r"^[^0-9A-Za-z@+]*", 0))
-    core = F.regexp_extract("match", r"[0-9A-Za-z@+](?:.*[0-9A-Za-z])?", 0)
-    others = others.select("doc_id", "mark", (F.col("start") + lead).alias("start"), core.alias("match"), "left", "right").withColumn("stop", F.col("start") + F.length("match"))
-    seeds = base.select("kind", _shape(F.col("match")).alias("shape"), "match", "left", "right")
-    shapes = seeds.groupBy("shape", "kind").count().groupBy("shape").agg(F.max_by("kind", F.struct("count", "kind")).alias("kind"))
-    candidates = staged(others.where(F.length("match") >= 6).withColumn("shape", _shape(F.col("match"))).join(shapes, "shape"), "candidates")
-    both = seeds.select("kind", "shape", "match", "left", "right", F.lit(1).alias("seed")).unionByName(candidates.select("kind", "shape", "match", "left", "right", F.lit(0).alias("seed")))
+    others = scanned.select("doc_id", "mark", F.explode(_runs(free)).alias("s")).select("doc_id", "mark", "s.*")
+    lead = F.length(F.regexp_extract("match", r"^(?:(?!\([0-9]+\))[^0-9A-Za-z@+])*", 0))
+    core = F.regexp_extract("match", r"(?:\([0-9]+\)|[0-9A-Za-z@+])(?:.*[0-9A-Za-z])?", 0)
+    others = others.select("doc_id", "mark", (F.col("start") + lead).alias("start"), core.alias("match"), "left", "right").withColumn("stop", F.col("start") + F.length("match")).where("match <> ''")
+    others = staged(others, "others")
+    seeds = base.select("kind", "match", "left", "right", F.lit(1).alias("seed"))
     sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))
-    edges = both.select("kind", "shape", "match", "seed", F.explode(sides).alias("s")).where("s.word <> ''").groupBy(
-        F.struct("kind", "shape", F.col("s.side").alias("side"), F.col("s.word").alias("word")).alias("pattern"), F.struct("kind", "match").alias("instance")).agg(F.max("seed").alias("seed"))
+    by_seed = seeds.select("kind", "match", "seed", F.explode(sides).alias("s")).where("s.word <> ''").select("kind", "match", "seed", "s.*").distinct()
+    by_seed = staged(by_seed, "by_seed")
+    # a slot with fewer seeds than the support can have no weight at first
+    slots = staged(by_seed.groupBy("kind", "side", "word").count().where(F.col("count") >= support).select("kind", "side", "word"), "slots")
+    standing = others.select("doc_id", "mark", "start", "stop", "match", F.explode(sides).alias("s")).select("doc_id", "mark", "start", "stop", "match", "s.*").join(slots, ["side", "word"])
+    standing = staged(standing, "standing")
+    placed = by_seed.unionByName(standing.select("kind", "match", F.lit(0).alias("seed"), "side", "word"))
+    # the shape speaks for an instance, but extracts none
+    shaped = placed.select("kind", "match", "seed", F.lit("shape").alias("side"), _shape(F.col("match")).alias("word"))
+    edges = placed.unionByName(shaped).groupBy(F.struct("kind", "side", "word").alias("pattern"), F.struct("kind", "match").alias("instance")).agg(F.max("seed").alias("seed"))
     edges = staged(edges, "edges")
     new = _scores(edges, rounds, support).where((F.col("score") >= bar) & (F.col("patterns") >= 2)).select("instance.kind", "instance.match")
-    added = candidates.join(new, ["kind", "match"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("new"))
+    slotted = standing.select("doc_id", "mark", "kind", "match", "start", "stop").join(new, ["kind", "match"])
+    anywhere = others.where(F.length("match") >= SHORT).select("doc_id", "mark", "match", "start", "stop").join(new, "match").select(slotted.columns)
+    added = slotted.unionByName(anywhere).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("new"))
     added = added.select(F.col("doc_id").alias("n_id"), F.col("mark").alias("n_mark"), "new")
     joined = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark")), "left")
     own = F.transform(kinds, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
