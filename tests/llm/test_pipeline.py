@@ -41,7 +41,7 @@ def test_stages(spark):
     assert kept["packing"] == kept["decontamination"]
 
 
-@pytest.mark.parametrize("name", ["op5_near_dedup", "op6_licenses", "op7_exact_dedup", "op9_decontamination"])
+@pytest.mark.parametrize("name", ["op5_near_dedup", "op6_licenses", "op7_exact_dedup", "op9_decontamination", "op11_prefix_trie", "op12_turn_repair"])
 def test_query_equals_twin(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
@@ -50,4 +50,4 @@ def test_query_equals_twin(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in queries() if name.startswith("op")} and "pipeline" in queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in queries() if name.startswith("op")} and "pipeline" in queries()

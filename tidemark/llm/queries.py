@@ -1,10 +1,10 @@
 """The corpus operators over the given tables, with production parameters: one query per operator."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity, twins
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, prefix_trie, quality, sharding, suffix_dedup, token_files, toxicity, turn_repair, twins
+from tidemark.llm.common import table, text_of
 from tidemark.session import tune
 
 
@@ -60,8 +60,25 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_documents(spark, folder))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return prefix_trie.trie(prefix_trie.continued(table(spark, folder, "conversations")))
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    tune(spark)
+    return turn_repair.digest(turn_repair.repaired(turn_repair.damaged(table(spark, folder, "conversations"))))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.sharded(_documents(spark, folder))
+    return dealt.select("doc.doc_id", "size", F.crc32(text_of("doc.text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_quality, op3_toxicity, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op8_suffix_dedup, op9_decontamination, op10_personal_data)}
+    op1_packing, op2_quality, op3_toxicity, op4_token_files, op5_near_dedup, op6_licenses, op7_exact_dedup, op8_suffix_dedup, op9_decontamination, op10_personal_data,
+    op11_prefix_trie, op12_turn_repair, op13_sharding)}
 
 #: DuckDB twins, where SQL can say the whole result
-ORACLE = {"op5_near_dedup": twins.NEAR_DEDUP, "op6_licenses": twins.LICENSES, "op7_exact_dedup": twins.EXACT_DEDUP, "op9_decontamination": twins.DECONTAMINATION}
+ORACLE = {"op5_near_dedup": twins.NEAR_DEDUP, "op6_licenses": twins.LICENSES, "op7_exact_dedup": twins.EXACT_DEDUP, "op9_decontamination": twins.DECONTAMINATION,
+          "op11_prefix_trie": twins.PREFIX_TRIE, "op12_turn_repair": twins.TURN_REPAIR}
