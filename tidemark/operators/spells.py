@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.intervals import BUCKET, YEARS, cut
+
 
 def _inside(day: Column, start: Column, end: Column) -> Column:
     return (start <= day) & (end.isNull() | (day < end))
@@ -10,11 +12,12 @@ def _inside(day: Column, start: Column, end: Column) -> Column:
 
 def members_only(df: DataFrame, spells: DataFrame | None, date: str = "as_of") -> DataFrame:
     """Rows whose symbol was a member on the row's date. A semi-join, so overlapping spells cannot
-    duplicate rows. Without a spell table every row is kept."""
+    duplicate rows; its key is (symbol, year bucket), so a hot symbol is spread over its years. Without a spell table
+    every row is kept."""
     if spells is None:
         return df
-    s = spells.select(F.col("symbol").alias("_s"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    return df.join(s, (df["symbol"] == F.col("_s")) & _inside(df[date], F.col("_start"), F.col("_end")), "left_semi")
+    s = cut(spells.select(F.col("symbol").alias("_s"), F.col("start").alias("_start"), F.col("end").alias("_end")), "_start", "_end")
+    return df.join(s, (df["symbol"] == F.col("_s")) & (YEARS.of(df[date]) == F.col(BUCKET)) & _inside(df[date], F.col("_start"), F.col("_end")), "left_semi")
 
 
 def member_counts(dates: DataFrame, spells: DataFrame, date: str = "as_of") -> DataFrame:

@@ -1,16 +1,18 @@
 """Streams over the given tables, drained once and checked against their batch definition."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import timedelta
 
-from tidemark.operators import text as tx
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tidemark.operators import indicators as ind, text as tx
 from tidemark.plans.cte import define
 from tidemark.plans.registry import query, rounded
-from tidemark.plans.signals import bucket
+from tidemark.plans.signals import bucket, recursion
 from tidemark.plans.standins import Lake
 from tidemark.sources import text_files as tf
 from tidemark.staging import staged
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, online
 
 
 def tick_stream(lake: Lake) -> DataFrame:
@@ -50,6 +52,46 @@ def stream_smoothing(lake: Lake) -> DataFrame:
     return rounded(out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "smoothed"))
 
 
+LATE, IDLE = 12, 3  # hours: how late a bar may come, and a silence that ends a series
+
+define("online_tf", f"""SELECT symbol, CAST(sum(fresh) OVER (PARTITION BY symbol ORDER BY ts) AS VARCHAR) AS tf, ts, open, high, low, close, volume
+ FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) > INTERVAL {IDLE} HOUR THEN 1 ELSE 0 END AS fresh FROM hour_bars WHERE ts <= (SELECT max(ts) FROM hour_bars) - INTERVAL {LATE} HOUR)""")
+
+
+def _online(lake: Lake) -> DataFrame:
+    """Hour bars that arrive out of order, up to eight hours late, in three batches, through the online indicators."""
+    bars = ind.bars_from_ticks(lake.ticks, 60).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close")
+    bars = staged(bars, "hours")
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("symbol", "ts"), F.lit(8)) * 3600
+    ends = bars.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    span = max(1, ends["high"] - ends["low"] + 1) if ends["low"] is not None else 1
+    slices = bars.withColumn("slice", F.floor((arrival - F.lit(ends["low"] or 0)) * 3 / F.lit(span)).cast("int"))
+    path = jobs.written_in_order(slices, "hours", "slice", 3)
+    stream = lake.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with online.state_store(lake.spark):
+        out = jobs.run_to_table(online.online_indicators(stream, f"{LATE} hours", timedelta(hours=IDLE)), "online")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("T3 late", """
+WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY ts) AS rn FROM online_tf),
+walk AS (SELECT symbol, tf, ts, rn, close AS s FROM n WHERE rn = 1 UNION ALL SELECT c.symbol, c.tf, c.ts, c.rn, w.s * (1 - 1.0::DOUBLE / 14) + c.close / 14 FROM walk w JOIN n c ON c.symbol = w.symbol AND c.tf = w.tf AND c.rn = w.rn + 1)
+SELECT symbol, ts, CASE WHEN rn >= 14 THEN round(s, 6) END AS smoothed FROM walk
+""")
+def stream_late_smoothing(lake: Lake) -> DataFrame:
+    return rounded(_online(lake).select("symbol", "ts", "smoothed"))
+
+
+@query("T3 RSI", f"WITH RECURSIVE {recursion('online_tf')} SELECT symbol, ts, round(rsi, 6) AS rsi, round(atr, 6) AS atr FROM ind")
+def stream_rsi(lake: Lake) -> DataFrame:
+    return rounded(_online(lake).select("symbol", "ts", "rsi", "atr"))
+
+
+@query("T3 trend band", f"WITH RECURSIVE {recursion('online_tf')} SELECT symbol, ts, round(supertrend, 6) AS supertrend, CAST(direction AS BIGINT) AS direction FROM ind")
+def stream_trend_band(lake: Lake) -> DataFrame:
+    return rounded(_online(lake).select("symbol", "ts", "supertrend", F.col("direction").cast("long").alias("direction")))
+
+
 @query("T4", "SELECT user_id, event_type, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def stream_upsert(lake: Lake) -> DataFrame:
     """The last event per user and type, kept by upserts batch by batch."""
@@ -61,17 +103,35 @@ def stream_upsert(lake: Lake) -> DataFrame:
 define("price_steps", "SELECT event_type AS symbol, CAST(ts AS DATE) AS d, max(value) AS peak FROM events GROUP BY 1, 2")
 
 
+def _peaks(lake: Lake) -> DataFrame:
+    """Per symbol and finished day the day's highest value, valid from the next midnight to the next such row."""
+    daily = lake.table("events").groupBy(F.col("event_type").alias("symbol"), F.date_add(F.to_date("ts"), 1).cast("timestamp_ntz").alias("since")).agg(F.max("value").alias("peak"))
+    return daily.withColumn("until", F.lead("since").over(Window.partitionBy("symbol").orderBy("since")))  # one row per symbol and day
+
+
+@query("T5 stream-stream", """
+SELECT e.event_id, CASE WHEN e.ts <= p.since + INTERVAL 10 DAY THEN p.peak END AS peak FROM events e ASOF LEFT JOIN (SELECT symbol, CAST(d + 1 AS TIMESTAMP) AS since, peak FROM price_steps) p ON p.symbol = e.event_type AND p.since < e.ts
+""")
+def stream_moving_enrichment(lake: Lake) -> DataFrame:
+    """The same with the facts as a stream of their own, most of them arriving after all events."""
+    s = jobs.read_stream(lake.spark, lake.folder, "events.parquet", lake.table("events").schema).select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"))
+    facts = _peaks(lake).select("symbol", F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until"), "peak")
+    tenth = F.floor(F.dayofmonth("since") / 11).cast("int")
+    month = F.month("since") - 1
+    late = facts.withColumn("slice", F.least(F.lit(3), tenth + 3 * month))
+    path = jobs.written_in_order(late, "facts", "slice", 4)
+    moving = lake.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    joined = jobs.enrich_streams(s, moving, "symbol", "ts", "since", "until", lateness="1 hour", facts_lateness="1 hour", longest="10 days")
+    return jobs.run_to_table(joined.select("event_id", "peak"), "moving")
+
+
 @query("T5", """
 SELECT e.event_id, p.peak FROM events e ASOF LEFT JOIN (SELECT symbol, CAST(d + 1 AS TIMESTAMP) AS since, peak FROM price_steps) p ON p.symbol = e.event_type AND p.since < e.ts
 """)
 def stream_enrichment(lake: Lake) -> DataFrame:
     """Each event with the highest value of the last finished day, a slowly changing fact."""
-    from pyspark.sql import Window
-
-    daily = lake.table("events").groupBy(F.col("event_type").alias("symbol"), F.date_add(F.to_date("ts"), 1).cast("timestamp_ntz").alias("since")).agg(F.max("value").alias("peak"))
-    until = F.lead("since").over(Window.partitionBy("symbol").orderBy("since"))  # one row per symbol and day
     s = jobs.read_stream(lake.spark, lake.folder, "events.parquet", lake.table("events").schema).select("event_id", F.col("event_type").alias("symbol"), "ts")
-    return jobs.run_to_table(jobs.enrich(s, staged(daily.withColumn("until", until), "peaks"), "symbol", "ts", "since", "until"), "enriched").select("event_id", "peak")
+    return jobs.run_to_table(jobs.enrich(s, staged(_peaks(lake), "peaks"), "symbol", "ts", "since", "until"), "enriched").select("event_id", "peak")
 
 
 @query("T6", """

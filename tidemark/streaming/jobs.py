@@ -9,11 +9,12 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.operators.indicators import OPEN_MINUTE, intraday_window
+from tidemark.operators.intervals import BUCKET, MONTHS, Buckets, cut
 from tidemark.session import scratch_root
 from tidemark.sources.lake import upsert_table
 
@@ -89,11 +90,31 @@ def trailing_counts(daily: DataFrame, names: Sequence[str], days: int = 180) ->
     return daily.withColumn("_n", number).select("symbol", "day", *[F.sum(c).over(w).alias(c) for c in names])
 
 
-def enrich(events: DataFrame, facts: DataFrame, by: str, event_time: str, valid_from: str, valid_to: str) -> DataFrame:
+def _valid(by: str, event_time: str, valid_from: str, valid_to: str, buckets: Buckets) -> Column:
+    """An event meets the facts of its key and bucket that hold strictly after `valid_from`, up to `valid_to`."""
+    inside = (F.col(valid_from) < F.col(event_time)) & (F.col(valid_to).isNull() | (F.col(event_time) <= F.col(valid_to)))
+    return (F.col(by) == F.col("_by")) & (buckets.of(F.col(event_time)) == F.col(BUCKET)) & inside
+
+
+def enrich(events: DataFrame, facts: DataFrame, by: str, event_time: str, valid_from: str, valid_to: str, buckets: Buckets = MONTHS) -> DataFrame:
     """Stream-static join on validity intervals: the fact known strictly before the event. `facts` are
-    intervals (from, to], so each event meets one row."""
-    f = facts.withColumnRenamed(by, "_by")
-    return events.join(f, (F.col(by) == F.col("_by")) & (F.col(valid_from) < F.col(event_time)) & (F.col(valid_to).isNull() | (F.col(event_time) <= F.col(valid_to))), "left").drop("_by")
+    intervals (from, to], so each event meets one row; they are cut at time buckets, so a hot key is spread."""
+    f = cut(facts.withColumnRenamed(by, "_by"), valid_from, valid_to, buckets)
+    return events.join(f, _valid(by, event_time, valid_from, valid_to, buckets), "left").drop("_by", BUCKET)
+
+
+def enrich_streams(
+    events: DataFrame, facts: DataFrame, by: str, event_time: str, valid_from: str, valid_to: str, *, lateness: str, facts_lateness: str, longest: str, buckets: Buckets = MONTHS
+) -> DataFrame:
+    """Stream-stream form of `enrich`: both sides move, and a fact may arrive after the events that it holds for.
+
+    A fact holds for `longest` at most (an interval such as "10 days"), so either side's state ends: an event is
+    dropped from it, with NULLs if it met no fact, once the watermark has passed it, a fact `longest` after it began.
+    Events later than `lateness` and facts later than `facts_lateness` are dropped."""
+    e = events.withWatermark(event_time, lateness)
+    f = cut(facts.withColumnRenamed(by, "_by").withWatermark(valid_from, facts_lateness), valid_from, valid_to, buckets)
+    bounded = F.col(event_time) <= F.col(valid_from) + F.expr(f"INTERVAL {longest}")
+    return e.join(f, _valid(by, event_time, valid_from, valid_to, buckets) & bounded, "left").drop("_by", BUCKET)
 
 
 def run_to_table(stream: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
@@ -105,6 +126,14 @@ def run_to_table(stream: DataFrame, name: str, schema: StructType | None = None)
     return spark.read.schema(schema or stream.schema).parquet(f"{root}/table")
 
 
+def written_in_order(df: DataFrame, name: str, slice_of: str, slices: int) -> str:
+    """The folder of a table whose files appear slice by slice (column `slice_of`, 0 .. slices - 1), as a stream's would."""
+    path = f"{scratch_root(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    for i in range(slices):
+        df.where(F.col(slice_of) == i).drop(slice_of).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run_upserts(stream: DataFrame, name: str, keys: Sequence[str], seq: str) -> DataFrame:
     spark, schema = stream.sparkSession, stream.schema
     root = f"{scratch_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
