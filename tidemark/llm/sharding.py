@@ -191,7 +191,7 @@ def sharded(docs: DataFrame, count: int = 24, tolerance: float = 0.01, part_byte
 def write_shards(docs: DataFrame, path: str, count: int = 24, tolerance: float = 0.01) -> DataFrame:
     """The shards as parquet folders `shard=N` under `path`, read back."""
     sharded(docs, count, tolerance).write.mode("error").partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.parquet(path).withColumn("shard", F.col("shard").cast("int"))
 
 
 __all__ = ["cell_of", "sharded", "size_of", "splitters", "write_shards"]
