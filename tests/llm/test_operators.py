@@ -169,10 +169,35 @@ def test_chains_of_copies_meet(spark, monkeypatch, blocks):
     df = frame(spark, rows, extra=False)
     if blocks:
         monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 1)
-        monkeypatch.setattr(near_dedup, "BLOCK_CHARS", 5000)
+        monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 500)
     assert {x.doc_id: x.component_id for x in near_dedup.near_groups(df, 4).collect()} == want
 
 
+def test_links_of_rows_with_odd_ids(spark):
+    """Rows that share an id, ids from 2**62 on and null ids keep the links of their own texts."""
+    words_ = [f"w{i}" for i in range(60)]
+    near = " ".join(words_[:-1] + ["other"])
+    big = 2**62 + 5
+    rows = [(7, "nothing like it here at all"), (7, " ".join(words_)), (big, near), (big + 1, "quite another text of its own"), (None, near + " more"), (None, "a stray text with a null id"), (3, "the same words twice over"), (9, "the same words twice over")]
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dedup.near_groups(frame(spark, rows), 4).collect() if r.doc_id is not None)
+    assert [g[1:4] for g in got] == [(3, 3, True), (7, 7, True), (7, 7, True), (9, 3, False), (big, 7, False), (big + 1, big + 1, True)]
+    nulls = sorted((r.component_id is None, r.kept) for r in near_dedup.near_groups(frame(spark, rows), 4).collect() if r.doc_id is None)
+    assert nulls == [(False, False), (True, True)]
+    kept = sorted((r.doc_id or -1, r.text) for r in near_dedup.keep_representatives(frame(spark, rows), 4).collect())
+    assert len(kept) == 5 and (7, " ".join(words_)) in kept and (big, near) not in kept
+
+
+def test_a_bucket_of_a_third_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 2000)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    hot = [(i, " ".join(base[:70] + [f"x{r.randrange(4)}" for _ in range(10)])) for i in range(100)]
+    rest = [(1000 + i, " ".join(f"u{r.randrange(10**6)}" for _ in range(40))) for i in range(200)]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(frame(spark, hot + rest, extra=False), 4).collect()}
+    assert got == near_components(hot + rest, 4)
+
+
 def test_components_of_long_chains(spark):
     from tidemark.llm.graph import components
 

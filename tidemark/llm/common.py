@@ -1,10 +1,13 @@
 """What several corpus operators share: input tables, worker-wide caches, array helpers."""
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +33,19 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` over Arrow batches, giving freed memory back to the machine when a task ends: a worker waits idle for the
+    next task, and what the allocators keep would count against its executor until then."""
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+        if trim:
+            trim(0)
+
+    return run
+
+
 def ramp(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of every (start, length), one after another."""
     ends = np.cumsum(lengths)
