@@ -18,33 +18,43 @@ from tidemark.session import tune
 from tidemark.staging import staged
 
 
+#: rows of one Arrow batch: stages follow one another in the same executors, whose idle Python workers still hold what
+#: they took, so batches of whole texts are kept small
+BATCH_ROWS = 512
+
+
+def prepare(spark: SparkSession) -> None:
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
-    tune(spark)
+    prepare(spark)
     return without_toxic(docs, table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The first document of each text (blank runs counting as one blank)."""
-    tune(spark)
+    prepare(spark)
     return keep_first_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group linked by word-shingle similarity (five words, 0.8 or more)."""
-    tune(spark)
+    prepare(spark)
     return keep_representatives(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    tune(spark)
+    prepare(spark)
     return without_contaminated(docs, table(spark, folder, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token pieces of what is left, packed into sequences."""
-    tune(spark)
+    prepare(spark)
     return packed(docs, tokenizer_file())
 
 
