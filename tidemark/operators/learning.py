@@ -1,5 +1,5 @@
-"""Walk-forward models on MLlib. Folds are a driver loop over dates or years (bounded by the calendar);
-every fit and every prediction is a distributed job, and fold results are written tables."""
+"""Training panels, model inputs, and models on MLlib. `walk_forward` and `walk_forward_years` fit fold by fold, a chain
+of jobs each; `operators/walkforward.py` fits all folds from one pass and is what the queries use."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -18,6 +18,7 @@ from tidemark.operators.metrics import average_precision, roc_auc, top_decile_re
 from tidemark.operators.portfolio import forward_returns
 from tidemark.operators.ranks import percentiles, quantiles
 from tidemark.operators.spells import members_only
+from tidemark.operators.walkforward import COMPARED, Boosting, one_split
 from tidemark.staging import staged
 
 HORIZON, MIN_TRAIN_DATES = 12, 12
@@ -121,27 +122,23 @@ def walk_forward_years(df: DataFrame, features: Sequence[str], target: str, keys
     return reduce(DataFrame.unionByName, parts, none)
 
 
-def compare_models(df: DataFrame, feature_sets: dict[str, Sequence[str]], keys: Sequence[str], *, train_end: int, val_end: int, label: str = "is_pick", cohort: str = "rec_date", trees: int = 300, seed: int = 7, leaf: int = 30) -> DataFrame:
-    """Time split, never random: logistic (median fill, standardised) and trees on each feature set, scored
-    on validation and test years."""
-    results = []
-    for name, features in feature_sets.items():
+def compare_models(sets: dict[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str], *, train_end: int, val_end: int, label: str = "is_pick", cohort: str = "rec_date", boosting: Boosting = COMPARED) -> DataFrame:
+    """Time split, never random: logistic (median fill, standardised) and boosted trees on each named feature set and its
+    rows, scored on validation and test years. (features, model, split, n, base_rate, roc_auc, pr_auc, recall)"""
+    parts = []
+    for name, (df, features) in sets.items():
         rows = staged(df.select(*keys, cohort, "year", F.col(label).cast("double").alias("y"), *model_inputs(df, features)), "rows")
         train = rows.where(F.col("year") <= train_end)
-        held = rows.where(F.col("year") > train_end).withColumn("split", F.when(F.col("year") <= val_end, "val").otherwise("test"))
-        for kind in ("logistic", "trees"):
-            if kind == "logistic":
-                fitted = _logistic(features, "y", train.count()).fit(train)
-                scored = fitted.transform(held)
-            else:
-                fitted = _trees(features, "y", trees, seed, leaf).fit(train.fillna(-1e6, subset=list(features)))
-                scored = fitted.transform(held.fillna(-1e6, subset=list(features)))
-            scored = staged(scored.select(*keys, cohort, "split", "y", _probability()), "scored")
-            quality = roc_auc(scored, ["split"], "y", "p").join(average_precision(scored, ["split"], "y", "p"), "split")
-            ranked = scored.withColumn("_id", F.pmod(F.xxhash64(*keys), F.lit(1 << 52)))
-            quality = quality.join(top_decile_recall(ranked, cohort, "y", "p", "_id", ["split"]), "split", "left")
-            results.append(quality.select(F.lit(name).alias("features"), F.lit(kind).alias("model"), "*"))
-    out = results[0]
-    for q in results[1:]:
-        out = out.unionByName(q)
-    return out
+        split = F.when(F.col("year") <= val_end, "val").otherwise("test")
+        held = rows.where(F.col("year") > train_end).withColumn("split", split)
+        known = train.agg(F.count(F.lit(1)).alias("_n"), *[F.count(f).alias(f) for f in features]).first()
+        filled = [f for f in features if known[f]]  # a median needs a value
+        logistic = _logistic(filled, "y", known["_n"]).fit(train).transform(held).select(*keys, cohort, "split", "y", _probability())
+        trees = one_split(train, held, features, [*keys, cohort, "split"], boosting)
+        for model, scores in (("logistic", logistic), ("trees", trees)):
+            parts.append(staged(scores, "scored").select(F.lit(name).alias("features"), F.lit(model).alias("model"), *keys, cohort, "split", "y", "p"))
+    both = reduce(DataFrame.unionByName, parts)
+    by = ["features", "model", "split"]
+    ranked = both.withColumn("_id", F.pmod(F.xxhash64(*keys), F.lit(1 << 52)))
+    quality = roc_auc(both, by, "y", "p").join(average_precision(both, by, "y", "p"), by)
+    return quality.join(top_decile_recall(ranked, cohort, "y", "p", "_id", by), by, "left")
