@@ -284,6 +284,32 @@ def test_usual_notices_are_labelled(spark):
     assert all(got[i].score == (1.0 if label else 0.0) for i, (_, label) in enumerate(notices))
 
 
+def test_neighbouring_licenses_are_told_apart(spark):
+    """One notice of each license beside those that differ from it in a word or two."""
+    notices = [
+        ("Released under the terms of the MIT license.", "mit"), ("Released under the terms of the BSD license.", "bsd"), ("Released under the terms of the GPL license.", "gpl"), ("Released under the terms of the license.", ""),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"), ("Licensed under the Mozilla License, Version 2.0", "mpl-2"), ("Licensed under the Other License, Version 2.0", ""),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"), ("Licensed under CC BY 4.0", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"), ("Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("GNU General Public License, version 3", "gpl-3"), ("GNU General Public License, version 2", "gpl-2"), ("GNU Lesser General Public License, version 3", "lgpl"),
+        ("GNU Affero General Public License, version 3", "agpl"), ("GNU Library General Public License, version 2", "lgpl"),
+        ("The GNU make manual: our public tool is now at version 3", ""), ("Mozilla Public License, version 2.0", "mpl-2"), ("a public license, version 2", ""),
+    ]
+    got = {x.doc_id: x for x in licenses.license_scan(frame(spark, [(i, t) for i, (t, _) in enumerate(notices)])).collect()}
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(notices)] == notices
+
+
+def test_licenses_of_odd_rows_and_very_long_texts(odd, spark):
+    got = licenses.license_scan(odd).collect()
+    assert len(got) == odd.count() and all(r.labels == "" and r.score == 0 for r in got) and sum(r.doc_id is None for r in got) == 2
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [(None, f"{long} licensed under the mit license {long}"), (None, long), (5, "Licensed under the\nBSD License"), (5, "Licensed under the\nBSD License"), (5, "GNU Affero General\nPublic License")]
+    got = sorted((r.doc_id or 0, r.labels, r.n_words) for r in licenses.license_scan(frame(spark, rows)).collect())
+    assert got == [(0, "", 30_000), (0, "mit", 60_005), (5, "agpl", 5), (5, "bsd", 5), (5, "bsd", 5)]
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [64, 4096])
 def test_exact_groups(docs, rows, block):

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from tidemark.llm.common import LOWER, UPPER
-from tidemark.llm.licenses import BLOCK, PHRASES, TEMPLATES
+from tidemark.llm.licenses import BLOCK, PHRASES, REACH, TEMPLATES, telling
 
 _FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -45,7 +45,9 @@ def _list(items: list[str]) -> str:
 _PLACES = " UNION ALL ".join(
     f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE list_slice(w, i, i + {len(p.split()) - 1}) = {_list(p.split())}"
     for p, label in PHRASES.items())
-_KNOWN = " UNION ALL ".join(f"SELECT '{label}' AS label, {_list(list(dict.fromkeys(t.split())))} AS ts" for label, t in TEMPLATES)
+_KNOWN = " UNION ALL ".join(
+    f"SELECT {i} AS template, '{label}' AS label, {_list(sorted(set(t.split())))} AS ts, {REACH * len(t.split())} AS reach, CAST({_list(telling(t)[0])} AS VARCHAR[]) AS must, CAST({_list(telling(t)[1])} AS VARCHAR[]) AS never"
+    for i, (label, t) in enumerate(TEMPLATES))
 LICENSES = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS ({_PLACES}),
@@ -54,8 +56,12 @@ lines AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(
 k AS (SELECT doc_id, w FROM lines WHERE len(w) BETWEEN 1 AND {BLOCK} UNION ALL
       SELECT doc_id, list_slice(w, i + 1, i + {BLOCK}) FROM (SELECT doc_id, w, unnest(range(0, len(w) - {BLOCK // 2} + 1, {BLOCK // 2})) AS i FROM lines WHERE len(w) > {BLOCK})),
 known AS ({_KNOWN}),
-m AS (SELECT doc_id, label, len(list_intersect(ts, w)) / len(ts) AS share FROM k, known WHERE list_has_any(ts, w)),
-more AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM m WHERE share >= 0.8 - 1e-9 GROUP BY doc_id)
+m AS (SELECT doc_id, label, len(list_intersect(ts, w)) / len(ts) AS share FROM k, known WHERE list_has_any(ts, w) AND list_has_all(w, must) AND NOT list_has_any(w, never)),
+c AS (SELECT doc_id, template, label, ts, reach, must, never, w FROM d, known WHERE len(list_intersect(ts, w)) >= 0.8 * len(ts) - 1e-9),
+q AS (SELECT doc_id, template, i - 1 AS at, w[i] AS token FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c) WHERE list_contains(ts, w[i]) OR list_contains(must, w[i]) OR list_contains(never, w[i])),
+st AS (SELECT x.doc_id, x.template, x.at, list(DISTINCT y.token) AS inside FROM q x JOIN known USING (template) JOIN q y ON y.doc_id = x.doc_id AND y.template = x.template AND y.at >= x.at AND y.at < x.at + reach WHERE list_contains(ts, x.token) GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, label, len(list_intersect(ts, inside)) / len(ts) AS share FROM st JOIN known USING (template) WHERE list_has_all(inside, must) AND NOT list_has_any(inside, never)),
+more AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM (SELECT * FROM m UNION ALL SELECT * FROM s) WHERE share >= 0.8 - 1e-9 GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(own, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ','), '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
