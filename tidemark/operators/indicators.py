@@ -52,8 +52,8 @@ def _frame(by: Sequence[str], ts: str) -> Window:
     return Window.partitionBy(*by).orderBy(ts)
 
 
-#: decay (in e-folds) over which a block of rows is summed at once, and the largest decay of a single step
-BLOCK_DECAY, STEP_DECAY = 40.0, 200.0
+#: decay (in e-folds) after which what is older no longer shows in a double: e**-40 = 4e-18
+DECAY = 40.0
 
 
 def smoothed(df: DataFrame, by: Sequence[str], ts: str, columns: Mapping[str, tuple[str, int]]) -> DataFrame:
@@ -61,41 +61,40 @@ def smoothed(df: DataFrame, by: Sequence[str], ts: str, columns: Mapping[str, tu
     NULL until n of them. Over NULLs the last value stands, and its weight decays by one step per row, so the value
     after a gap counts for more.
 
-    s(t) = k(t) s(t-1) + (1 - k(t)) x(t) is a prefix scan: inside a block it is a running sum scaled by the decay so
-    far, whole steps as a power and what gaps add as an exponential. A block ends after BLOCK_DECAY e-folds of either,
-    so the scale stays finite; from the block before, its own sum is carried over. What is older has decayed by more
-    than a whole block, e**-40 = 4e-18 of its weight, and is left out.
+    Every value is an affine step s -> a s + b, and steps compose: (a, b) after (c, d) is (a c, a d + b). A row takes in
+    the 1, 2, 4, ... values before it, so a few passes of one ordering give all columns their whole past, until what is
+    left out has decayed by DECAY e-folds. Rows without a value take no part, however long a gap is.
     """
     w = _frame(by, ts)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY `{ts}`)"
+    sources = {c: f"_{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in columns.values()))}
+    names = {name: f"_s{i}" for i, name in enumerate(columns)}
     out = df.withColumn("_row", F.row_number().over(w))
-    for name, (c, n) in columns.items():
-        if n == 1:
-            out = out.withColumn(name, F.last(c, ignorenulls=True).over(upto))
-            continue
-        seen, gap, extra, place, beyond, block, local, carried = (f"_{name}_{x}" for x in ("i", "g", "k", "p", "e", "b", "l", "c"))
-        there, unit = F.col(c).isNotNull(), math.log(1 - 1 / n)
-        size = math.ceil(BLOCK_DECAY / -unit)
-        before = F.last(F.when(there, F.col("_row")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn(seen, F.count(c).over(upto)).withColumn(gap, F.when(there, F.col("_row") - before))
-        old = F.exp(F.col(gap) * unit)
-        late = F.col(gap) > 1  # rows after a gap decay by more than a step
-        out = out.withColumn(extra, F.when(there & late, F.greatest(F.lit(-STEP_DECAY), F.log(old / (old + 1 / n)) - unit)).otherwise(0.0))
-        out = out.withColumn(beyond, F.sum(extra).over(upto)).withColumn(place, F.col(seen) - 1)
-        out = out.withColumn(block, F.floor(F.col(place) / size) + F.floor(-F.col(beyond) / BLOCK_DECAY))
-        inside = Window.partitionBy(*by, block).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-        power = lambda e: F.pow(F.lit(1 - 1 / n), e.cast("double"))
-        scale = power(F.pmod(F.col(place), F.lit(size))) * F.exp(F.col(beyond) + F.floor(-F.col(beyond) / BLOCK_DECAY) * BLOCK_DECAY)
-        weight = F.when(F.col(gap).isNull(), F.lit(1.0)).when(late, 1 - F.exp(F.col(extra) + unit)).otherwise(F.lit(1 / n))
-        out = out.withColumn(local, F.sum(F.when(there, weight * F.col(c) / scale)).over(inside) * scale)
-        # the last sum of the block before, at the row where the block changes
-        step = F.lag(F.struct(local, place, beyond, block)).over(w)
-        turned = F.when(step[block] < F.col(block), F.struct(step[local].alias("v"), step[place].alias("p"), step[beyond].alias("e")))
-        out = out.withColumn(carried, F.last(turned, ignorenulls=True).over(upto))
-        decay = power(F.col(place) - F.col(f"{carried}.p")) * F.exp(F.col(beyond) - F.col(f"{carried}.e"))
-        value = F.col(local) + F.coalesce(F.col(f"{carried}.v") * decay, F.lit(0.0))
-        out = out.withColumn(name, F.when(F.col(seen) >= n, value)).drop(seen, gap, extra, place, beyond, block, local, carried)
-    return out.drop("_row")
+    out = out.select("*", *[F.count(c).over(upto).alias(f"{p}_seen") for c, p in sources.items()], *[F.when(F.col(c).isNotNull(), F.col("_row")).alias(f"{p}_at") for c, p in sources.items()])
+    out = out.select("*", *[(F.col("_row") - F.expr(f"lag({p}_at) IGNORE NULLS {over}")).alias(f"{p}_gap") for p in sources.values()])
+
+    def step(name: str) -> list[Column]:
+        c, n = columns[name]
+        gap = F.col(f"{sources[c]}_gap")
+        old = F.when(gap == 1, F.lit(1 - 1 / n)).otherwise(F.pow(F.lit(1 - 1 / n), gap.cast("double")))
+        weight = F.when(gap.isNull(), F.lit(1.0)).when(gap == 1, F.lit(1 / n)).otherwise((1 / n) / (old + 1 / n))
+        there = F.col(c).isNotNull()
+        return [F.when(there, 1 - weight).alias(f"{names[name]}_a"), F.when(there, weight * F.col(c)).alias(f"{names[name]}_b")]
+
+    scanned = [name for name, (_, n) in columns.items() if n > 1]
+    out = out.select("*", *[x for name in scanned for x in step(name)])
+    reach = {name: DECAY / -math.log(1 - 1 / columns[name][1]) for name in scanned}
+    span = 1
+    while now := [names[name] for name in scanned if span < reach[name]]:
+        before = [F.expr(f"lag({p}_{x}, {span}) IGNORE NULLS {over}").alias(f"{p}_{x}0") for p in now for x in "ab"]
+        taken = {f"{p}_b": F.col(f"{p}_b") + F.coalesce(F.col(f"{p}_a") * F.col(f"{p}_b0"), F.lit(0.0)) for p in now}
+        taken |= {f"{p}_a": F.col(f"{p}_a") * F.coalesce(F.col(f"{p}_a0"), F.lit(0.0)) for p in now}
+        out = out.select("*", *before).withColumns(taken).drop(*[f"{p}_{x}0" for p in now for x in "ab"])
+        span *= 2
+    value = lambda name, c, n: F.last(F.col(f"{names[name]}_b") if n > 1 else F.col(c), ignorenulls=True).over(upto)
+    seen = lambda c, n: F.col(f"{sources[c]}_seen") >= n
+    return out.select(*df.columns, *[F.when(seen(c, n), value(name, c, n)).alias(name) for name, (c, n) in columns.items()])
 
 
 def true_range(w: Window) -> Column:

@@ -4,11 +4,12 @@ A cross-section (one date, one measure) can be as large as the symbol table, and
 be a third of it. So ranks, quantiles and running totals are built in two levels:
 
 1. rows collapse to one per distinct value (map-side combined, so a hot tie costs one row),
-2. distinct values fall into order-preserving bins, a running total over the *bins* gives each bin
-   its offset, and a window inside each bin finishes the job.
+2. a group with many distinct values is cut into bins of about equal numbers of them, a running total over the
+   *bins* gives each bin its offset, and a window inside each bin finishes the job.
 
-The bin is a pure function of the value, so a retried task computes the same bin. The window over
-bins is bounded by the number of bins, not by the number of rows.
+Where a group is cut follows its data: the cuts are those of its distinct values whose hash falls in a fixed share, a
+summary that merges by union. As the hash depends on the value alone, a retried task finds the same cuts, and however
+close the values lie, bins hold about as many each. Smaller groups are one bin.
 """
 from __future__ import annotations
 
@@ -16,38 +17,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS_PER_E_FOLD = 2048
-_SHIFT = 746 * BINS_PER_E_FOLD  # |ln| of the smallest positive double is below 746
-_MAX = 1.7976931348623157e308
+#: distinct values that one window may sort, and cuts of a group that has more
+BIN_VALUES, CUTS = 8192, 255
+_STEP = 16  # cuts are searched in two levels, every 16th first
 
 
-def order_bin(value: Column) -> Column:
-    """Weakly monotone map double -> long: equal values share a bin, larger values never get a smaller one."""
-    size = F.least(F.abs(value), F.lit(_MAX))
-    magnitude = F.floor(F.log(size) * BINS_PER_E_FOLD).cast("long") + F.lit(_SHIFT)
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).when(value == 0, F.lit(0).cast("long"))
+def _place(value: Column, cuts: str) -> Column:
+    """How many of the sorted cuts lie at or below the value: every 16th is compared, then those after the last hit."""
+    below = lambda among: F.size(F.filter(among, lambda c: c <= value))
+    coarse = F.filter(cuts, lambda c, i: i % _STEP == _STEP - 1)
+    done = below(coarse) * _STEP
+    return done + below(F.slice(F.col(cuts), done + 1, F.lit(_STEP)))
+
+
+def binned(cells: DataFrame, by: Sequence[str], value: str, bin_values: int = BIN_VALUES) -> DataFrame:
+    """`cells`, one row per (by, value), with the column `_bin`: weakly rising with the value inside a group."""
+    large = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bin_values)
+    share = F.greatest(F.lit(1), F.expr(f"_n div least({CUTS}, _n div {bin_values} + 1)"))
+    chosen = cells.select(*by, value).join(large, list(by)).where(F.pmod(F.xxhash64(value), share) == 0)
+    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))  # about CUTS a group at most
+    return cells.join(cuts, list(by), "left").withColumn("_bin", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_place(F.col(value), "_cuts"))).drop("_cuts")
 
 
 def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, Column]) -> DataFrame:
     """One row per (by, value) with, for every name in `sums`, the aggregate itself, `<name>_before`
     (its sum over smaller values of the group) and `<name>_total` (over the whole group)."""
-    by = list(by)
-    cells = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(*[c.alias(n) for n, c in sums.items()])
-        .withColumn("_bin", order_bin(F.col(value)))
-    )
-    bins = cells.groupBy(*by, "_bin").agg(*[F.sum(n).alias(n) for n in sums])
-    group = Window.partitionBy(*(by or [F.lit(0)]))
+    keys = list(by) or ["_all"]
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    cells = binned(rows.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()]), keys, value)
+    bins = cells.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(n) for n in sums])
+    group = Window.partitionBy(*keys)
     earlier_bins = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select(
-        *by, "_bin",
+        *keys, "_bin",
         *[F.coalesce(F.sum(n).over(earlier_bins), F.lit(0)).alias(f"_{n}_offset") for n in sums],
         *[F.sum(n).over(group).alias(f"{n}_total") for n in sums],
     )
-    inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.join(offsets, [*by, "_bin"]).select(
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.join(offsets, [*keys, "_bin"]).select(
         *by, value, *sums,
         *[(F.col(f"_{n}_offset") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums],
         *[f"{n}_total" for n in sums],
@@ -117,4 +125,4 @@ def spearman(df: DataFrame, by: Sequence[str], keys: Sequence[str], x: str, y: s
     )
 
 
-__all__ = ["order_bin", "running_totals", "unpivot", "average_ranks", "percentile_rows", "percentiles", "quantiles", "spearman"]
+__all__ = ["binned", "running_totals", "unpivot", "average_ranks", "percentile_rows", "percentiles", "quantiles", "spearman"]
