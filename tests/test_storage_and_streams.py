@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from helpers import d, rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,6 +31,42 @@ def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
     assert rows(lk.list_symbols(table)) == [("1E5",), ("A",)] and lk.read_symbol(table, "1E5").count() == 1
 
 
+@pytest.mark.parametrize("buckets", [0, 4])
+@pytest.mark.parametrize("broken", [(1,), (2,), (2, 3)])
+def test_a_failed_swap_loses_nothing(spark, tmp_path, monkeypatch, buckets, broken):
+    """Renames of one upsert: away, in, and back. Whichever fails, the old rows are there or come back with the next run."""
+    schema = StructType.fromDDL("k int, v int")
+    path = str(tmp_path / "t")
+    lk.upsert_table(spark, path, spark.createDataFrame([(1, 10), (2, 20), (3, 30)], schema), ["k"], schema, buckets=buckets)
+    real, calls = lk._rename, []
+
+    def fail(files, source, target):
+        calls.append(1)
+        return len(calls) not in broken and real(files, source, target)
+
+    monkeypatch.setattr(lk, "_rename", fail)
+    with pytest.raises(OSError):
+        lk.upsert_table(spark, path, spark.createDataFrame([(2, 21)], schema), ["k"], schema, buckets=buckets)
+    monkeypatch.setattr(lk, "_rename", real)
+    if broken != (2, 3):
+        assert rows(lk.read_table(spark, path, schema)) == [(1, 10), (2, 20), (3, 30)]
+    lk.upsert_table(spark, path, spark.createDataFrame([(2, 22)], schema), ["k"], schema, buckets=buckets)
+    assert rows(lk.read_table(spark, path, schema)) == [(1, 10), (2, 22), (3, 30)]
+
+
+def test_a_batch_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    schema = StructType.fromDDL("k int, v int")
+    path = tmp_path / "t"
+    lk.upsert_table(spark, str(path), spark.createDataFrame([(i, i) for i in range(100)], schema), ["k"], schema, buckets=8)
+    files = lambda: {f: os.path.getmtime(f) for f in path.glob("bucket=*/*.parquet")}
+    before = files()
+    lk.upsert_table(spark, str(path), spark.createDataFrame([(7, -7)], schema), ["k"], schema, buckets=8)
+    after = files()
+    assert len({f.parent for f in before}) == 8 and len({f.parent for f in set(before) - set(after)}) == 1
+    assert all(after[f] == t for f, t in before.items() if f in after)
+    assert rows(lk.read_table(spark, str(path), schema)) == sorted((i, -7 if i == 7 else i) for i in range(100))
+
+
 def test_newest_partitions_not_days(spark):
     df = spark.createDataFrame([(d("2024-01-01"), 1), (d("2024-01-02"), 2), (d("2024-03-01"), 3), (d("2024-03-01"), 4)], "date date, i int")
     assert rows(lk.latest_partitions(df, 2), "i") == [(2,), (3,), (4,)]

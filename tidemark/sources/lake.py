@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.staging import discard, staged
 
@@ -47,29 +47,84 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, last: bool = T
     return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], schema: StructType, partition_by: str | None = None, seq: str | None = None, newest: bool = False) -> None:
-    """Upsert into a parquet table by the rule of `upserted`, the first write included. The merged rows are staged
-    first. With `partition_by` only touched partitions are rewritten; a whole table is written beside the old one and
-    takes its place by renaming, so readers find one or the other."""
+BUCKET = "bucket"
+
+
+def _rename(files, source, target) -> bool:
+    return files.rename(source, target)
+
+
+def _swap(files, fresh, target, old) -> None:
+    """`fresh` takes the place of `target`. If it cannot, the old folder is put back; it is deleted last."""
+    had = files.exists(target)
+    if had and not _rename(files, target, old):
+        raise OSError(f"{target} could not be moved away; it is unchanged")
+    if not _rename(files, fresh, target):
+        if had and not _rename(files, old, target):
+            raise OSError(f"{target} could not be replaced nor put back; its rows are in {old}")
+        raise OSError(f"{target} could not be replaced; it is unchanged")
+    if had:
+        files.delete(old, True)
+
+
+def _recover(files, hadoop, path: str) -> None:
+    """Puts back a folder that a run ended between moving it away and replacing it."""
+    target = hadoop(path)
+    if files.exists(target) or not files.exists(target.getParent()):
+        return
+    kept = [s.getPath() for s in files.listStatus(target.getParent()) if s.getPath().getName().startswith(f".{target.getName()}.old-")]
+    if kept:
+        _rename(files, kept[0], target)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table written by `upsert_table`, without the buckets' own column."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def upsert_table(
+    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], schema: StructType, partition_by: str | None = None, seq: str | None = None, newest: bool = False, buckets: int = 0
+) -> None:
+    """Upsert into a parquet table by the rule of `upserted`, the first write included.
+
+    With `partition_by`, or with `buckets` (folders by a hash of the keys), only folders that the new rows touch are read
+    and rewritten. Merged rows are written beside the table, under a name that readers skip, and each folder takes the
+    place of the old one by renaming: the old one is moved away, put back if the new one cannot be moved in, and deleted
+    last. Between the two renames a reader may miss that folder; a run that ends there is repaired by the next.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target = hadoop(path)
     files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    _recover(files, hadoop, path)
+    by = partition_by or (BUCKET if buckets else None)
     new = new.select(*schema.fieldNames())
-    existing = spark.read.schema(schema).parquet(path) if files.exists(target) else new.limit(0)
-    if partition_by:
-        existing = existing.join(new.select(partition_by).distinct(), partition_by, "left_semi")
-    merged = staged(upserted(existing, new, keys, seq, newest), "upsert")
-    if partition_by:
-        merged.write.mode("overwrite").partitionBy(partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        mark = uuid.uuid4().hex
-        fresh, old = hadoop(f"{path}.new-{mark}"), hadoop(f"{path}.old-{mark}")
-        merged.write.parquet(f"{path}.new-{mark}")
-        if files.exists(target):
-            files.rename(target, old)
-        files.rename(fresh, target)
-        files.delete(old, True)
-    discard(merged)
+    whole = StructType([*schema.fields, StructField(BUCKET, IntegerType())]) if buckets else schema
+    there = files.exists(target)
+    if buckets:
+        new = new.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    existing = spark.read.schema(whole).parquet(path) if there else new.limit(0)
+    touched: list[str] = []
+    if by:
+        new = staged(new, "new-rows")
+        touched = [r[0] for r in new.select(by).distinct().collect()]  # folders that the batch touches
+        existing = existing.where(F.col(by).isin([t for t in touched if t is not None]) | (F.col(by).isNull() & F.lit(None in touched)))
+    mark = uuid.uuid4().hex
+    parent, name = target.getParent().toString(), target.getName()
+    fresh = f"{parent}/.{name}.new-{mark}"
+    merged = upserted(existing, new, [*keys, *([by] if by and by not in keys else [])], seq, newest)
+    if not by:
+        merged.write.parquet(fresh)
+        _swap(files, hadoop(fresh), target, hadoop(f"{parent}/.{name}.old-{mark}"))
+        return
+    merged.repartition(by).write.partitionBy(by).parquet(fresh)
+    files.mkdirs(target)
+    for folder in files.listStatus(hadoop(fresh)):
+        if folder.isDirectory():
+            moved = folder.getPath()
+            _recover(files, hadoop, f"{path}/{moved.getName()}")
+            _swap(files, moved, hadoop(f"{path}/{moved.getName()}"), hadoop(f"{path}/.{moved.getName()}.old-{mark}"))
+    files.delete(hadoop(fresh), True)
+    discard(new)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
@@ -85,4 +140,4 @@ def write_documents(df: DataFrame, path: str, partition_by: str | None = "symbol
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-__all__ = ["read_symbol", "list_symbols", "latest_partitions", "upserted", "keep_one", "upsert_table", "write_table", "write_documents", "Window"]
+__all__ = ["read_symbol", "list_symbols", "latest_partitions", "upserted", "keep_one", "read_table", "upsert_table", "write_table", "write_documents", "Window"]

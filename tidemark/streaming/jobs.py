@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from tidemark.operators.indicators import OPEN_MINUTE, intraday_window
 from tidemark.operators.intervals import BUCKET, MONTHS, Buckets, cut
 from tidemark.session import scratch_root
-from tidemark.sources.lake import upsert_table
+from tidemark.sources.lake import read_table, upsert_table
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -65,12 +65,13 @@ def smoothing(bars: DataFrame, n: int, value: str = "close") -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, schema, "count long, level double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], seq: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], seq: str, schema: StructType, buckets: int = 0) -> Callable[[DataFrame, int], None]:
     """Batch function for `foreachBatch`: per key the row with the highest `seq` stays, of the batch or of the table, so
-    late rows and replayed batches change nothing and any split into batches gives the same table."""
+    late rows and replayed batches change nothing and any split into batches gives the same table. With `buckets` a batch
+    rewrites only the buckets of its own keys."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys, schema, seq=seq, newest=True)
+        upsert_table(batch.sparkSession, path, batch, keys, schema, seq=seq, newest=True, buckets=buckets)
 
     return merge
 
@@ -134,10 +135,10 @@ def written_in_order(df: DataFrame, name: str, slice_of: str, slices: int) -> st
     return path
 
 
-def run_upserts(stream: DataFrame, name: str, keys: Sequence[str], seq: str) -> DataFrame:
+def run_upserts(stream: DataFrame, name: str, keys: Sequence[str], seq: str, buckets: int = 16) -> DataFrame:
     spark, schema = stream.sparkSession, stream.schema
     root = f"{scratch_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    merge = upsert_stream(stream, f"{root}/table", keys, seq, schema)
+    merge = upsert_stream(stream, f"{root}/table", keys, seq, schema, buckets)
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/table")
+    return read_table(spark, f"{root}/table", schema)
