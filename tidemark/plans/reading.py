@@ -1,6 +1,9 @@
 """News, filings, retrieval, questions, conversations."""
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import grounding as gr, lists as ls, scoring as sc, text as tx
@@ -8,7 +11,8 @@ from tidemark.plans.cte import define
 from tidemark.plans.market import price_panel, price_scores
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.standins import Lake
-from tidemark.sources import lake as lk, text_files as tf
+from tidemark.session import scratch_root
+from tidemark.sources import datasets as ds, lake as lk, text_files as tf
 from tidemark.staging import staged
 
 # every entity that the tables hold, the ampersand last so that nothing is decoded twice
@@ -42,6 +46,33 @@ def news_of_symbol(lake: Lake) -> DataFrame:
     return lk.read_symbol(tf.clean_news(lake.raw_news), "SRC7").select("symbol", "item_id")
 
 
+def _news_lake(lake: Lake) -> str:
+    """Raw headlines as a dataset with a folder per date."""
+    path = f"{scratch_root(lake.spark)}/lake-{uuid.uuid4().hex}/news"
+    rows = lake.raw_news.select("symbol", "published_at", "item_id", "headline", "date")
+    rows.repartition("date").write.partitionBy("date").parquet(path)
+    return path
+
+
+@query("S1 path", "SELECT symbol, date, open, close, volume FROM bars WHERE symbol IN ('S7', 'S11') AND date BETWEEN DATE '1996-01-01' AND DATE '1998-06-30'")
+def bars_of_symbols(lake: Lake) -> DataFrame:
+    """Two symbols' bars of a span of dates, from a dataset with a folder per symbol."""
+    path = f"{scratch_root(lake.spark)}/lake-{uuid.uuid4().hex}/bars"
+    bars = lake.bars.select("symbol", "date", "open", "close", "volume")
+    bars.repartition("symbol").sortWithinPartitions("date").write.partitionBy("symbol").parquet(path)
+    return ds.read_dataset(lake.spark, path, bars.schema, symbols=["S7", "S11"], start=date(1996, 1, 1), end=date(1998, 6, 30))
+
+
+@query("S3 path", "SELECT symbol, item_id, published_at, headline, sentiment FROM news WHERE symbol = 'SRC7' AND date IN (SELECT DISTINCT date FROM raw_news WHERE date <= DATE '2024-11-30' ORDER BY date DESC LIMIT 30)")
+def recent_news_of_symbol(lake: Lake) -> DataFrame:
+    return ds.read_news(lake.spark, _news_lake(lake), "SRC7", 30, date(2024, 11, 30)).select("symbol", "item_id", "published_at", "headline", "sentiment")
+
+
+@query("S4 path", "SELECT symbol, item_id, published_at, sentiment FROM news")
+def all_news(lake: Lake) -> DataFrame:
+    return ds.read_all_news(lake.spark, _news_lake(lake)).select("symbol", "item_id", "published_at", "sentiment")
+
+
 @query("S2", "SELECT DISTINCT symbol FROM raw_news")
 def news_symbols(lake: Lake) -> DataFrame:
     return lk.list_symbols(lake.raw_news)
