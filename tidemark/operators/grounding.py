@@ -6,29 +6,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators import lists as ls, text as tx
-from tidemark.operators.scoring import SCORE_COLUMNS
+from tidemark.operators.scoring import SCORE_COLUMNS, with_model_scores
 from tidemark.staging import staged
 
 
-def score_lines(scores: DataFrame, rows: int = ls.DELTA_ROWS) -> DataFrame:
-    """Latest scores per symbol and their changes against `rows` rows earlier."""
+MODEL = "ml_score"
+
+
+def score_lines(scores: DataFrame, rows: int = ls.DELTA_ROWS, ml_scores: DataFrame | None = None) -> DataFrame:
+    """Latest scores per symbol and their changes against `rows` rows earlier; with `ml_scores` also the model's score of
+    the same date, NULL where it has none."""
     w = Window.partitionBy("symbol").orderBy("as_of")
-    marked = scores.select("symbol", "as_of", *SCORE_COLUMNS, *[(F.col(c) - F.lag(c, rows).over(w)).alias(f"{c}_change") for c in SCORE_COLUMNS])
+    if ml_scores is not None:
+        scores = with_model_scores(scores, ml_scores.select("symbol", "as_of", MODEL))
+    extra = [MODEL] if ml_scores is not None else []
+    marked = scores.select("symbol", "as_of", *SCORE_COLUMNS, *extra, *[(F.col(c) - F.lag(c, rows).over(w)).alias(f"{c}_change") for c in SCORE_COLUMNS])
     return ls.latest_per_symbol(marked)
 
 
 def ground(
     questions: DataFrame, scores: DataFrame, metrics: DataFrame, chunks: DataFrame, news: DataFrame, now: Column,
-    notes: DataFrame | None = None, stop_words: Sequence[str] | None = None, top: int = 10,
+    notes: DataFrame | None = None, stop_words: Sequence[str] | None = None, top: int = 10, ml_scores: DataFrame | None = None,
 ) -> DataFrame:
     """questions (question_id, question) -> one row per question and named symbol (scores, factors, note,
     headline counts, newest headlines, matching excerpts), and one row per question without a name holding
     the category's ranking. chunks: symbol, chunk_id, text. news: cleaned headlines.
 
     Each part is one row per symbol before it is joined; the arrays hold at most 8 headlines, 4 excerpts
-    and `top` ranked symbols.
+    and `top` ranked symbols. With `ml_scores` (symbol, as_of, ml_score) questions about the model are ranked by it; without,
+    or where no fresh symbol has one, by the total.
     """
-    score_table = staged(score_lines(scores), "lines")
+    score_table = staged(score_lines(scores, ml_scores=ml_scores), "lines")
     named = tx.mentions(questions, score_table)
     count = F.count(F.lit(1)).over(Window.partitionBy("question_id"))  # three names at most
     named = staged(named.withColumn("excerpts", F.ceil(F.lit(float(tx.EXCERPTS_TOTAL)) / count).cast("int")).withColumn("key", F.concat_ws("|", "question_id", "symbol")), "named")
@@ -44,7 +52,7 @@ def ground(
         out = out.join(note.select("symbol", F.struct(*[c for c in note.columns if c != "symbol"]).alias("note")), "symbol", "left")
     out = out.drop("key").withColumn("route", F.lit("symbol"))
     fresh = ls.fresh(score_table)
-    ranks = ls.top_lists(fresh, SCORE_COLUMNS, top).groupBy(F.col("list").alias("category")).agg(F.array_sort(F.collect_list(F.struct("rank", "symbol", "value"))).alias("ranking"))
+    ranks = ls.top_lists(fresh, [*SCORE_COLUMNS, *([MODEL] if ml_scores is not None else [])], top).groupBy(F.col("list").alias("category")).agg(F.array_sort(F.collect_list(F.struct("rank", "symbol", "value"))).alias("ranking"))
     others = questions.join(named.select("question_id").distinct(), "question_id", "left_anti").select("question_id", tx.find_category(F.col("question")).alias("asked"))
     # a category nobody is scored in falls back to the total
     usable = others.join(ranks.select(F.col("category").alias("asked"), F.lit(True).alias("ok")), "asked", "left").withColumn("category", F.when(F.col("ok"), F.col("asked")).otherwise("total"))
