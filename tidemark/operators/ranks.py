@@ -17,26 +17,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: distinct values that one window may sort, and cuts of a group that has more
-BIN_VALUES, CUTS = 8192, 255
-_STEP = 16  # cuts are searched in two levels, every 16th first
+#: distinct values of a group for each of its cuts: about what one window sorts
+BIN_VALUES = 8192
 
 
-def _place(value: Column, cuts: str) -> Column:
-    """How many of the sorted cuts lie at or below the value: every 16th is compared, then those after the last hit."""
+def _place(value: Column) -> Column:
+    """How many of the sorted cuts lie at or below the value: of every `_step`th, then of those after the last hit."""
     below = lambda among: F.size(F.filter(among, lambda c: c <= value))
-    coarse = F.filter(cuts, lambda c, i: i % _STEP == _STEP - 1)
-    done = below(coarse) * _STEP
-    return done + below(F.slice(F.col(cuts), done + 1, F.lit(_STEP)))
-
-
-def binned(cells: DataFrame, by: Sequence[str], value: str, bin_values: int = BIN_VALUES) -> DataFrame:
-    """`cells`, one row per (by, value), with the column `_bin`: weakly rising with the value inside a group."""
-    large = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bin_values)
-    share = F.greatest(F.lit(1), F.expr(f"_n div least({CUTS}, _n div {bin_values} + 1)"))
-    chosen = cells.select(*by, value).join(large, list(by)).where(F.pmod(F.xxhash64(value), share) == 0)
-    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts"))  # about CUTS a group at most
-    return cells.join(cuts, list(by), "left").withColumn("_bin", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_place(F.col(value), "_cuts"))).drop("_cuts")
+    done = below(F.col("_coarse")) * F.col("_step")
+    return done + below(F.slice("_cuts", done + 1, F.col("_step")))
+
+
+def binned(cells: DataFrame, by: Sequence[str], value: str, bin_values: int | None = None) -> DataFrame:
+    """`cells`, one row per (by, value), with the column `_bin`: weakly rising with the value inside a group. A group of n
+    distinct values has about n / bin_values cuts, most groups none."""
+    # the test also reads the sums, in a way that never matters: so it stays above the aggregate, whose one shuffle then
+    # serves the cuts, the bins and the result
+    rest = [c for c in cells.columns if c not in (*by, value)]
+    odd = (F.xxhash64(*rest) == F.lit(0x5DEECE66D1234567)).cast("int")
+    chosen = cells.where(F.pmod(F.xxhash64(value) + odd, F.lit(bin_values or BIN_VALUES)) == 0)
+    cuts = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts")).withColumn("_step", F.greatest(F.lit(1), F.sqrt(F.size("_cuts")).cast("int")))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % F.col("_step") == F.col("_step") - 1))
+    place = F.coalesce(F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_place(F.col(value))), F.lit(0))  # never NULL: no test for it is planned
+    return cells.join(cuts, list(by), "left").withColumn("_bin", place).drop("_cuts", "_step", "_coarse")
 
 
 def running_totals(df: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, Column]) -> DataFrame:
