@@ -129,6 +129,24 @@ def test_token_files(spark, docs, odd, none, rows, encode):
     assert token_files.token_round_trip(none, tokenizer_file()).count() == 0
 
 
+def test_wide_ids_come_back(spark, rows, encode):
+    """An end id beyond 16 bits makes files of 4-byte ids; a second writing of a part leaves the first."""
+    some = frame(spark, rows[:20])
+    got = {r.doc_id: r for r in token_files.token_round_trip(some, tokenizer_file(), end_id=70_000).collect()}
+    assert all((got[i].n_tokens, got[i].ids_crc32) == (len(encode(t)) + 1, crc(encode(t) + [70_000])) for i, t in rows[:20])
+
+
+def test_a_part_that_is_there_stays(tmp_path):
+    from pyarrow import fs
+
+    (tmp_path / "a").write_bytes(b"12345")
+    (tmp_path / "b").write_bytes(b"12345")
+    (tmp_path / "c").write_bytes(b"1")
+    for attempt, kept in (("a", b"12345"), ("c", b"1")):
+        token_files._settle(fs.LocalFileSystem(), str(tmp_path / attempt), str(tmp_path / "b"))
+        assert (tmp_path / "b").read_bytes() == kept and not (tmp_path / attempt).exists()
+
+
 @pytest.mark.parametrize("text", ["Don't STOP 42!!", "İstanbul ΣΑΣ ǅ ﬁ", "a<|endoftext|>b", "été 가", "tab\tnew blank x", "日本語 テスト", "I'll we've O'Re 's"])
 def test_word_encoder_equals_the_library(encode, text):
     import pyarrow as pa

@@ -7,7 +7,7 @@ the number of ids before a part is the prefix sum over the parts' sizes. Readers
 
 A part is written under a name of its own task attempt and then renamed, so that a lost executor's half-written file
 is never seen; a repeated attempt writes the same bytes. Files go to the shared scratch folder by its own scheme
-(pyarrow's file systems); a scheme other than a mounted folder is read in pieces rather than mapped.
+(pyarrow's file systems); a scheme other than a mounted folder is read whole, part by part, rather than mapped.
 """
 from __future__ import annotations
 
@@ -25,7 +25,9 @@ from tidemark.session import scratch_root
 from tidemark.staging import staged
 
 NO_ID = -(2**63)
-PARTS = "part int, n_docs long, n_ids long"
+PARTS = "part int, n_docs long, n_ids long, width int"
+#: bytes of text that a part is meant for: its index is held by the task that writes it
+PART_BYTES = 256 << 20
 
 
 def _opened(folder: str):
@@ -37,14 +39,29 @@ def _opened(folder: str):
     return fs.LocalFileSystem(), folder
 
 
+def _settle(system, attempt: str, target: str) -> None:
+    """Give an attempt's file its name. An earlier attempt of the task may have left the same bytes there already, which
+    some file systems do not rename over: then its file stays."""
+    from pyarrow import fs
+
+    there = system.get_file_info(target)
+    if there.type == fs.FileType.File and there.size == system.get_file_info(attempt).size:
+        system.delete_file(attempt)
+    else:
+        system.move(attempt, target)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> DataFrame:
-    """Encode every text, write the parts in doc_id order (null first, ties by text) and return one row per part.
+    """Encode every text, write the parts in doc_id order (null first, ties by text) and return one row per part, with the
+    bytes of an id (`width`): 2, or 4 where the vocabulary or the end id needs them.
 
-    Null texts are empty and hold the end id alone; an empty table writes no part.
+    There are as many parts as shuffle partitions, or as PART_BYTES asks for by the planner's size of the input. Null
+    texts are empty and hold the end id alone; an empty table writes no part.
     """
     spark = docs.sparkSession
     if parts is None:
-        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // PART_BYTES)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -69,8 +86,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         with system.open_output_stream(f"{attempt}.idx") as out:
             out.write(offsets.tobytes() + np.concatenate(names).astype("<i8").tobytes())
         for kind in ("ids", "idx"):
-            system.move(f"{attempt}.{kind}", f"{at}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["part", "n_docs", "n_ids"])
+            _settle(system, f"{attempt}.{kind}", f"{at}.{kind}")
+        width = int(wide[2:])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([int(offsets[-1])], pa.int64()), pa.array([width], pa.int32())], names=["part", "n_docs", "n_ids", "width"])
 
     return staged(ordered.mapInArrow(write, PARTS), "token-parts")
 
@@ -86,22 +104,20 @@ def _mapped(folder: str, name: str, kind: str):
         return np.frombuffer(f.read_buffer(), kind)
 
 
-def read_token_files(spark: SparkSession, folder: str, parts: DataFrame, width: int = 2) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 and the part it lies in.
 
     `parts` is what the writer returned: a row per file, so the prefix sums over it stay small.
     """
-    known = sorted((r.part, r.n_docs, r.n_ids) for r in parts.collect())
-    before = np.concatenate([[0], np.cumsum([n for _, _, n in known])]).astype(np.int64)
-    rows = [(p, n, int(b)) for (p, n, _), b in zip(known, before)]
-    files = spark.createDataFrame(rows, "part int, n_docs long, base long").repartition(max(1, len(rows)), "part")
-    kind = f"<u{width}"
-
+    known = sorted((r.part, r.n_docs, r.n_ids, r.width) for r in parts.collect())
+    before = np.concatenate([[0], np.cumsum([n for _, _, n, _ in known])]).astype(np.int64)
+    rows = [(p, n, int(b), w) for (p, n, _, w), b in zip(known, before)]
+    files = spark.createDataFrame(rows, "part int, n_docs long, base long, width int").repartition(max(1, len(rows)), "part")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 index = _mapped(folder, f"part-{row['part']:05d}.idx", "<i8")
-                ids, n = _mapped(folder, f"part-{row['part']:05d}.ids", kind), row["n_docs"]
+                ids, n = _mapped(folder, f"part-{row['part']:05d}.ids", f"<u{row['width']}"), row["n_docs"]
                 for first in range(0, n, 4096):
                     last = min(n, first + 4096)
                     offsets, names = index[first:last + 1], index[n + 1 + first:n + 1 + last]
