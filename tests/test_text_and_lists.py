@@ -1,3 +1,7 @@
+import math
+import random
+
+import pytest
 from helpers import approx, d, rows
 from pyspark.sql import functions as F
 
@@ -55,6 +59,55 @@ def test_retrieval_with_any_number_of_salts(spark):
     assert one == many and [(r[0], r[2]) for r in one] == [(10, 1)]
 
 
+def _cosines(chunks, asked):
+    """{query: [(rounded score, chunk), ...] best first}, by the definition."""
+    def vector(words, idf):
+        return {t: (1 + math.log(words.count(t))) * idf[t] for t in set(words) if t in idf}
+
+    out = {}
+    for symbol in {c[0] for c in chunks}:
+        mine = {c[1]: c[2].split() for c in chunks if c[0] == symbol}
+        idf = {t: math.log((1 + len(mine)) / (1 + sum(t in w for w in mine.values()))) + 1 for t in {t for w in mine.values() for t in w}}
+        for s, key, text in asked:
+            q = vector(text.split(), idf) if s == symbol else {}
+            found = []
+            for chunk, words in mine.items():
+                v = vector(words, idf)
+                dot = sum(w * v.get(t, 0.0) for t, w in q.items())
+                if dot > 0:
+                    found.append((-round(dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in q.values())), 9), chunk))
+            if found:
+                out[key] = [(-score, chunk) for score, chunk in sorted(found)]
+    return out
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_retrieval_with_bounds_equals_all_scores(spark, salts):
+    """Few rare and many frequent words, repeated chunks (ties), one symbol with most chunks."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) ** 1.3 for i in range(40)], k=n))
+    chunks = [("A" if i % 4 else "B", i, text(rng.randint(1, 25))) for i in range(160)]
+    chunks += [(s, i + 500, t) for s, i, t in chunks[:60]]
+    asked = [("A" if i % 3 else "B", 1000 + i, text(rng.randint(1, 6))) for i in range(30)] + [("A", 2000, "w0 w0"), ("A", 2001, "w0 w39"), ("B", 2002, "w1 w0 w38 w39")]
+    kind = "symbol string, {} long, {} string"
+    c, q = spark.createDataFrame(chunks, kind.format("chunk_id", "text")), spark.createDataFrame(asked, kind.format("query_id", "query"))
+    got = {}
+    for r in tx.retrieve(c, q, k=4, salts=salts, stop_words=[]).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(r.score, 9), r.chunk_id))
+    want = {key: found[:4] for key, found in _cosines(chunks, asked).items()}
+    assert {key: [c for _, c in v] for key, v in got.items()} == {key: [c for _, c in v] for key, v in want.items()}
+    assert all(abs(a - b) < 2e-9 for key in want for (a, _), (b, _) in zip(got[key], want[key]))
+
+
+def test_frequent_words_are_not_essential(spark):
+    chunks = spark.createDataFrame([("A", i, "common filler" + (" rare" if i < 5 else "")) for i in range(50)], "symbol string, chunk_id long, text string")
+    asked = spark.createDataFrame([("A", 1, "rare common")], "symbol string, query_id long, query string")
+    postings, vectors = tx.unit_postings(chunks, tx._counts(asked, "query_id", "query", []), 1, [])
+    terms = {r.term: r for r in tx.bounded_terms(postings, vectors, 3).collect()}
+    assert terms["rare"].essential and not terms["common"].essential and terms["rare"].rest > 0
+
+
 def test_mentions(spark):
     known = spark.createDataFrame([("AAPL",), ("MSFT",), ("A",), ("IT",)], "symbol string")
     q = spark.createDataFrame([(1, "Compare AAPL with MSFT and AAPL"), (2, "A good stock?"), (3, "what about $A"), (4, "aapl it"), (5, "ÉAAPL x")], "question_id int, question string")

@@ -100,34 +100,83 @@ def _counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None
 
 
 CHUNKS_PER_SALT = 100_000
+SLACK = 1e-8  # scores are ranked by nine digits, so bounds closer than this cannot decide
+
+
+def _salted(salts: int):
+    """The chunk side picks its salt by chunk; the (symbol, word) side is repeated over all salts. One salt is none, so
+    that words counted by (symbol, word) need no second exchange."""
+    if salts == 1:
+        return (lambda d: d), (lambda d: d), ["symbol", "term"]
+    pick = lambda d: d.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pick, spread, ["symbol", "term", "salt"]
+
+
+def unit_postings(chunks: DataFrame, asked: DataFrame, salts: int, stop_words: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(symbol, term, chunk_id, w) of every asked word, w being its part of the chunk's TF-IDF vector of length one,
+    and (symbol, query_id, term, q), the questions' vectors of length one. Unknown words drop out."""
+    pick, spread, key = _salted(salts)
+    tf = staged(_counts(chunks, "chunk_id", "text", stop_words), "words")
+    n = chunks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    word = ["symbol", "term"]
+    rarity = lambda d: d.groupBy(*word).agg(F.count(F.lit(1)).alias("df")).join(n, "symbol").select(*word, (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = lambda idf: pick(tf).join(spread(idf), key).select("symbol", "term", "chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    square = F.sum(F.col("w") * F.col("w"))
+    norms = weighted(rarity(tf).hint("shuffle_hash")).groupBy("symbol", "chunk_id").agg(F.sqrt(square).alias("norm"))
+    wanted = staged(rarity(tf.join(asked.select(*word).distinct(), word, "left_semi")), "wanted")
+    postings = weighted(wanted).join(norms, ["symbol", "chunk_id"]).select("symbol", "term", "chunk_id", (F.col("w") / F.col("norm")).alias("w"))
+    vectors = asked.join(wanted, word).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    unit = F.col("w") / F.sqrt(square.over(Window.partitionBy("symbol", "query_id")))
+    return staged(postings, "postings"), vectors.select("symbol", "query_id", "term", unit.alias("q"))
+
+
+def bounded_terms(postings: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """vectors with `floor`, a score that k chunks of the query surely reach; `essential`, false for the words that
+    together cannot lift a chunk to it; and `rest`, the most that those others can add.
+
+    The k heaviest postings of a word are found before its postings are shuffled. Their sums are lower bounds, the
+    heaviest one is the word's upper bound.
+    """
+    heaviest = Window.partitionBy("symbol", "term").orderBy(F.col("w").desc(), "chunk_id")
+    heads = postings.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= k)
+    peaks = heads.where("place = 1").select("symbol", "term", F.col("w").alias("peak"))
+    sure = heads.join(vectors, ["symbol", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("sure"))
+    kth = sure.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sure").desc()))).where(F.col("place") <= k)
+    floors = kth.where(F.col("place") == k).select("query_id", F.col("sure").alias("floor"))
+    rising = Window.partitionBy("symbol", "query_id").orderBy("bound", "term")
+    bounds = vectors.join(peaks, ["symbol", "term"]).withColumn("bound", F.col("q") * F.col("peak"))
+    below = bounds.withColumn("below", F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0))).join(floors, "query_id", "left")
+    floor = F.coalesce("floor", F.lit(0.0))
+    marked = below.withColumn("floor", floor).withColumn("essential", F.col("below") >= F.col("floor") - SLACK)
+    rest = F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("symbol", "query_id"))
+    return marked.select("symbol", "query_id", "term", "q", "floor", "essential", rest.alias("rest"))
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, salts: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
     """Top-k chunks per query within the query's own symbol, by cosine of sublinear TF-IDF vectors.
 
     chunks: symbol, chunk_id, text. queries: symbol, query_id, query. Words are counted per chunk map-side.
-    A frequent word of a dominant symbol would make one huge join key, so the (symbol, word) statistics are
+    Only chunks that hold a word without which the top k cannot be reached are scored, and of these only the ones whose
+    sum so far plus all that the other words may add reaches the k-th best; frequent words are looked up for those
+    alone. A frequent word of a dominant symbol would still make one huge join key, so the (symbol, word) side is
     replicated over as many salts as the largest symbol needs and the chunk side picks its salt by chunk.
     """
-    tf = staged(_counts(chunks, "chunk_id", "text", stop_words), "words")
-    n = chunks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     if salts is None:
-        largest = n.agg(F.max("n")).first()[0] or 1  # one number
+        largest = chunks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1  # one number
         salts = -(-largest // CHUNKS_PER_SALT)
-    df = tf.groupBy("symbol", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "symbol")
-    idf = df.select("symbol", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    asked = _counts(queries, "query_id", "query", stop_words).join(idf, ["symbol", "term"])  # unknown words drop out
-    asked = staged(asked.select("symbol", "query_id", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("q")), "asked")
-    norms = asked.groupBy("symbol", "query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = tf.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    key = ["symbol", "term", "salt"]
-    weighted = salted.join(spread(idf), key).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    length = weighted.groupBy("symbol", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = salted.join(spread(asked), key).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    dots = hits.groupBy("symbol", "chunk_id", "query_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    scored = dots.join(length, ["symbol", "chunk_id"]).join(norms, ["symbol", "query_id"])
-    scored = scored.withColumn("score", F.col("dot") / (F.col("norm") * F.col("q_norm"))).where("score > 0")
+    asked = _counts(queries, "query_id", "query", stop_words)
+    postings, vectors = unit_postings(chunks, asked, salts, stop_words)
+    terms = staged(bounded_terms(postings, vectors, k), "terms")
+    pick, spread, key = _salted(salts)
+    pair = ["symbol", "query_id", "chunk_id"]
+    hits = pick(postings).join(spread(terms.where("essential")), key)
+    sums = hits.groupBy(*pair).agg(F.sum(F.col("w") * F.col("q")).alias("part"), F.max(F.col("floor") - F.col("rest")).alias("needed"))
+    able = sums.where(F.col("part") >= F.col("needed") - SLACK).select(*pair, "part")
+    others = terms.where("not essential").groupBy("symbol", "query_id").agg(F.collect_list(F.struct("term", "q")).alias("others"))
+    looked_up = able.join(others, ["symbol", "query_id"], "left").select(*pair, "part", F.explode_outer("others").alias("o")).select(*pair, "part", "o.*")
+    more = looked_up.join(postings, ["symbol", "term", "chunk_id"], "left").groupBy(*pair)
+    scored = more.agg((F.max("part") + F.coalesce(F.sum(F.col("w") * F.col("q")), F.lit(0.0))).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "symbol", "chunk_id", "score", "rank")
 
