@@ -12,7 +12,7 @@ from check import compare
 SF = "/root/testdata/sf0.001"
 # a cross-section of subjects; `python check.py` runs every query
 NAMES = ["momentum_ranks", "member_counts", "financials", "derived_quarters", "merged_recommendations", "forward_grid", "keyed_upsert", "clean_news", "filing_chunks", "page_lines",
-         "hourly_bars", "supertrend", "headline_actions", "symbol_mentions", "company_ids", "average_precision", "stream_bars", "data_dictionary"]
+         "hourly_bars", "supertrend", "headline_actions", "symbol_mentions", "company_ids", "average_precision", "stream_bars", "data_dictionary", "full_index_rows", "full_backtest_returns", "full_rank_position"]
 
 
 @pytest.fixture(scope="module")

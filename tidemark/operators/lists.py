@@ -122,10 +122,11 @@ def symbol_documents(universe: DataFrame, bars: DataFrame, scores: DataFrame, me
 
 
 def index_rows(scores: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row per equity with more than three score rows: latest scores and the three-row change."""
+    """One row per equity with more than three score rows: latest scores, the three-row change, and the model's score
+    where `scores` carries one."""
     latest = with_row_change(scores).where(F.col("history") > DELTA_ROWS)
     names = universe.where("quote_type = 'EQUITY'").select("symbol", "name", "sector")
-    return latest.join(names, "symbol").select("symbol", "name", "sector", *[output_number(F.col(c)).alias(c) for c in SCORE_COLUMNS], output_number(F.col("total_change")).alias("total_change"))
+    return latest.join(names, "symbol").select("symbol", "name", "sector", *[output_number(F.col(c)).alias(c) for c in SCORE_COLUMNS], *[output_number(F.col(c)).alias(c) for c in ("total_change", "ml_score") if c in latest.columns])
 
 
 def shortlist(rows: DataFrame, daily: DataFrame, notes: DataFrame | None = None, n: int = 10) -> DataFrame:
