@@ -1,14 +1,17 @@
 """The corpus operators on tables with nulls, empty and very long texts, ties, repeated rows and clashing names."""
 import random
+import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from brute import contamination as brute_contamination, near_components, personal, repeats, shingles
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, dedup_exact, licenses, near_dedup, packing, pii, quality, suffix_dedup, token_files, toxicity
 from tidemark.llm.queries import tokenizer_file
+from tidemark.llm.shingles import mixed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that the operators use themselves
@@ -107,7 +110,6 @@ def test_packing_fills_like_sequential_best_fit(spark):
 
 
 def test_sweep_serves_the_smallest_gap_first():
-    import numpy as np
 
     waiting, gaps = np.zeros(11, int), np.zeros(11, int)
     waiting[4], gaps[4], gaps[5], gaps[9] = 4, 1, 1, 1
@@ -458,7 +460,6 @@ def test_quality_is_learned_from_lines(spark, none):
 def test_field_gradient_and_marginals():
     import itertools
 
-    import numpy as np
 
     rng = np.random.default_rng(1)
     lines, score, trans = np.array([3, 1, 4]), rng.normal(size=8), rng.normal(size=(2, 2))
@@ -485,3 +486,68 @@ def test_toxicity_chain(spark, none):
     kept = toxicity.without_toxic(df, df, labels)
     assert kept.columns == df.columns and kept.count() == 302 - 75
     assert toxicity.toxicity(df, df, labels.limit(0)).where("rejected").count() == 0 and toxicity.toxicity(none, df, labels).count() == 0
+
+
+def _brute_chain(rows, marks):
+    """{doc_id: probabilities of the chain}, from sets of words and stems and dense matrices."""
+    def features(text):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode().lower())
+        return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in toxicity.STEMS if len(w) >= k}
+
+    found = {i: features(t) for i, t in rows}
+    ids = sorted(marks)
+    y = np.array([[1 - q, t, (1 - q) * t] for q, t in (marks[i] for i in ids)], float)
+    share, score = y.mean(0), {}
+    for f in set().union(*[found[i] for i in ids]):
+        holds = np.array([f in found[i] for i in ids])
+        n = holds.sum()
+        if 5 <= n <= toxicity.COMMON * len(ids):
+            score[f] = max(abs(y[holds, c].sum() - n * share[c]) / np.sqrt(n * (y[:, c].sum() + 1) / (len(ids) + 2)) for c in range(3))
+    assert len(score) <= toxicity.FEATURES
+    kept = sorted(score)
+    every = [i for i, _ in rows]
+    x = np.array([[f in found[i] for f in kept] for i in every], float)
+    train = [every.index(i) for i in ids]
+    fold = np.array([int(mixed(np.array([i], np.uint64))[0]) % toxicity.FOLDS for i in ids])
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    at = lambda m, w: 1 / (1 + np.exp(-(m @ w)))
+
+    def fit(m, y):
+        w, one, two = np.zeros(m.shape[1]), 0.0, 0.0
+        w[-1] = logit((y.sum() + 1) / (len(y) + 2))
+        for t in range(1, 201):
+            g = m.T @ ((at(m, w) - y) / len(y)) + 1e-3 * w * (np.arange(len(w)) < len(w) - 1)
+            one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
+            w = w - 0.1 * one / (1 - 0.9**t) / (np.sqrt(two / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    seen, shown, out = np.zeros((len(ids), 0)), np.zeros((len(every), 0)), []
+    for c in range(3):
+        m = np.column_stack([x[train], seen, np.ones(len(ids))])
+        p = at(np.column_stack([x, shown, np.ones(len(every))]), fit(m, y[:, c]))
+        unseen = np.zeros(len(ids))
+        for f in range(toxicity.FOLDS):
+            unseen[fold == f] = at(m[fold == f], fit(m[fold != f], y[fold != f, c]))
+        seen, shown = np.column_stack([seen, logit(unseen)]), np.column_stack([shown, logit(p)])
+        out.append(p)
+    return dict(zip(every, np.column_stack(out)))
+
+
+def test_toxicity_chain_equals_a_dense_one(spark):
+    r = random.Random(11)
+    words = [f"{a}{b}" for a in "mild plain vile harsh kind été".split() for b in ("", "er", "ly", "ness", "z" * 40 + "a", "z" * 40 + "b")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 14)))) for i in range(160)]
+    marks = {i: (int(r.random() < 0.6), int("vile" in t)) for i, t in rows[:110]}
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in marks.items()], "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    want = _brute_chain(rows, marks)
+    got = {x.doc_id: (x.p_low_quality, x.p_toxic, x.p_toxic_low_quality) for x in toxicity.toxicity(df, df, labels).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-5) for i in want)
+
+
+def test_long_words_that_start_alike_are_different_features():
+    ends = ["a", "b", "ab", "ba", "a" * 70, "a" * 69 + "b"]
+    texts = ["x" * 32 + e for e in ends]
+    text, feature = toxicity.word_features(texts + texts)
+    whole = feature[-2 * len(ends):]
+    assert list(text[-2 * len(ends):]) == list(range(2 * len(ends))) and list(whole[:len(ends)]) == list(whole[len(ends):]) and len(set(whole)) == len(ends)

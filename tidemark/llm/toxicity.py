@@ -48,12 +48,19 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(bounds, starts, side="right") - 1
     value = _BYTE[FOLD[raw]]
     total, out = np.zeros(len(starts), np.uint64), []
-    # words of up to 32 bytes are hashed in full, longer ones by their first 32: they stay features of their own length
-    for j in range(min(32, int(sizes.max()))):
+    for j in range(min(len(_PLACE), int(sizes.max()))):
         live = np.flatnonzero(sizes > j)
         total[live] += value[starts[live] + j] * _PLACE[j]
         if j + 1 in STEMS:
             out.append((text[live], mixed(total[live] + np.uint64(j + 1))))
+    # the rest of longer words, all their bytes at once, each with a factor of its place
+    long = np.flatnonzero(sizes > len(_PLACE))
+    if len(long):
+        rest = sizes[long] - len(_PLACE)
+        first = np.cumsum(rest) - rest
+        place = np.arange(int(rest.sum())) - np.repeat(first, rest)
+        at = np.repeat(starts[long] + len(_PLACE), rest) + place
+        total[long] += np.add.reduceat(value[at] * (mixed(place.astype(np.uint64)) | np.uint64(1)), first)
     out.append((text, mixed(total + sizes.astype(np.uint64) * np.uint64(0x1_0000_0001))))
     return np.concatenate([t for t, _ in out]), np.concatenate([h for _, h in out])
 
