@@ -1,11 +1,13 @@
 """Recommendations: cleaning, merging, forward returns, controls, exits, report tables."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import clipped, log_cap, sic_bucket
 from tidemark.operators import events as ev, facts as fx, lists as ls, prices as px, ranks as rk, scoring as sc, text as tx
-from tidemark.plans.cte import define, percent
+from tidemark.plans.cte import CTES, define, percent
 from tidemark.plans.market import price_scores, financial_table
 from tidemark.plans.registry import query, r, rounded
 from tidemark.plans.standins import Lake, symbol_of
@@ -342,8 +344,6 @@ define("pair_known", "SELECT p.symbol, p.as_of, f.* EXCLUDE (symbol) FROM pair_p
 
 
 def _pair_cte(name: str, source: str) -> None:
-    from tidemark.plans.cte import CTES
-
     define("pair_" + name, CTES[source].replace("known_rows", "pair_known").replace("known_periods", "pair_periods").replace("fy_rows", "pair_fy").replace("panel_probes", "pair_price"))
 
 
@@ -418,6 +418,26 @@ def score_outcome_correlation(lake: Lake) -> DataFrame:
     return rounded(rk.spearman(long, ["measure"], ["symbol", "rec_date"], "value", "excess_365d"))
 
 
+# the twins of picks alone, read for picks and controls
+_TRAIN = ["entries", "entry_rows", *[f"exit_{n}" for n in _H], "recs", "event_rows", "pairs", *[f"pair_{n}" for n in ("price", "known", "periods", "ttm", "fy", "prior", "balance")], "app_rows"]
+
+
+def _for_training(sql: str) -> str:
+    swapped = re.sub(rf"\b({'|'.join(_TRAIN)})\b", r"train_\1", sql)
+    return re.sub(r"\bmerged\b", "train_base", swapped).replace("m.action", "m.is_pick").replace(" WHERE action = 'BUY'", "")
+
+
+define("train_base", "SELECT rec_date, symbol, 1 AS is_pick FROM merged WHERE action = 'BUY' UNION ALL SELECT rec_date, symbol, 0 AS is_pick FROM drawn")
+for _n in _TRAIN:
+    define(f"train_{_n}", _for_training(CTES[_n]))
+define("train_ratios", _for_training(f"""
+SELECT p.symbol, p.as_of AS rec_date, {_RATIO_SQL.replace("ttm_rows", "pair_ttm")}, price * b_shares AS market_cap, p.as_of - known_filed AS filing_age_days FROM pair_price p
+LEFT JOIN pair_ttm t USING (symbol, as_of) LEFT JOIN pair_fy f USING (symbol, as_of) LEFT JOIN pair_prior USING (symbol, as_of) LEFT JOIN pair_balance USING (symbol, as_of)
+"""))
+define("train_rows", "SELECT * FROM train_event_rows JOIN train_recs USING (rec_date, symbol, is_pick) LEFT JOIN train_ratios USING (symbol, rec_date) LEFT JOIN train_app_rows USING (symbol, rec_date)")
+_TRAINED = [*px.EVENT_FEATURES, *fx.FUNDAMENTAL_FACTORS, "app_momentum", "app_risk", "app_total", "app_total_pct", *_FWD]
+
+
 def training_table(lake: Lake) -> DataFrame:
     """Picks and controls with features, fundamentals, app scores, industry, forward returns and label."""
     bars, idx = lake.bar_table, lake.index_bars
@@ -438,7 +458,17 @@ def training_rows(lake: Lake) -> DataFrame:
     return training_table(lake)
 
 
-@query("A27")
+@query("M7 U4 values", f"""
+SELECT rec_date, symbol, CAST(is_pick AS BIGINT) AS is_pick, {r(_TRAINED)}, round(log10(market_cap), 6) AS log_market_cap, CAST(filing_age_days AS BIGINT) AS filing_age_days, excess_365d > 0 AS beat_spy_365d FROM train_rows
+""")
+def training_values(lake: Lake) -> DataFrame:
+    """Features, ratios, ranking, outcomes and label of every pick and control."""
+    t = training_table(lake)
+    kept = t.select("rec_date", "symbol", F.col("is_pick").cast("long").alias("is_pick"), *_TRAINED, F.log10("market_cap").alias("log_market_cap"), F.col("filing_age_days").cast("long").alias("filing_age_days"), "beat_spy_365d")
+    return rounded(kept)
+
+
+@query("A27", "SELECT CAST(is_pick AS BIGINT) AS is_pick, count(*) AS n, " + ", ".join(f"round(avg(CAST({c} IS NOT NULL AS INT)), 6) AS has_{c}" for c in ("ret_12m_ex_1m", "pe", "excess_365d")) + " FROM train_rows GROUP BY 1")
 def presence_rates(lake: Lake) -> DataFrame:
     """Share of rows with a value, of picks and of controls."""
     t = training_table(lake)
