@@ -196,3 +196,9 @@ def test_entities_and_unicode_blanks(spark):
     got = spark.range(1).select(F.lit("A").alias("symbol"), F.lit("1").alias("accn"), F.lit("10-K").alias("form"), F.lit("2024-01-01").alias("filed"), lines.alias("lines"))
     assert got.first().lines[0] == "Item 1A. Risk Factors"
     assert [c.item for c in tx.chunk_filings(got).collect()] == ["1A"]
+
+
+def test_lines_keep_entity_names_that_lack_their_closing_mark(spark):
+    page = "<title>a&amp;&amp</title>b<p>x&amp;y &copy 2020 &amp;amp;</p><p>z&amp</p>"
+    lines = spark.createDataFrame([(page,)], "h string").select(tx.document_lines(F.col("h"))).first()[0]
+    assert lines == ["a&&ampbx&y &copy 2020 &amp;", "z&amp"]
