@@ -141,3 +141,20 @@ def test_control_draw_does_not_depend_on_the_index(spark):
     assert len(set(used)) > 240 and max(used.count(s) for s in set(used)) <= 9  # 2 expected each
     strict = spark.createDataFrame([("T1", "EQUITY"), ("T2", "ETF"), ("T3", None)], "symbol string, quote_type string")
     assert {s for _, s in rows(ev.sample_controls(picks, ends, universe=strict), "rec_date", "symbol")} == {"T1"}
+
+
+def test_forward_returns_never_join_back_to_their_probes(spark, tmp_path):
+    """Small files may hold many rows: a side as long as the input must not look small enough to be sent to every task."""
+    path = str(tmp_path / "recs")
+    recs(spark, [("2020-03-01", "A", "BUY"), ("2020-03-01", "A", "HOLD"), ("2020-02-24", "A", "BUY"), ("2020-05-23", "A", "SELL")]).write.parquet(path)
+    b = bars(spark, range(1, 200), "A", start="2020-01-01")
+    out = ev.forward_returns(spark.read.parquet(path), b, b.withColumn("symbol", F.lit("SPY")), horizons={"6d": 6, "90d": 90, "same": 90})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2, plan  # with the index by day, and of the result with its recommendations
+    day = lambda text: (d(text) - d("2020-01-01")).days + 1  # the close of that day
+    for x in out.collect():
+        start = day(str(x.rec_date))
+        assert (x.entry_date, x.entry_close) == (x.rec_date, float(start))
+        assert approx(x.ret_6d, (start + 6) / start - 1) and approx(x.excess_6d, 0.0)
+        late = None if start + 90 > 199 else (start + 90) / start - 1
+        assert x.ret_90d == x.ret_same and (x.ret_90d is None if late is None else approx(x.ret_90d, late))
