@@ -36,6 +36,14 @@ def test_totals_do_not_depend_on_bins(spark, monkeypatch, values):
     assert whole.columns == ["v", "n", "n_before", "n_total"] and whole.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 1401
 
 
+def test_compressed_tables_count_as_rows(spark, tmp_path):
+    """A side whose file is small but whose rows are not stays out of the driver."""
+    spark.range(0, 3_000_000, 1, 2).select((F.col("id") % 1000).alias("k"), "id").write.parquet(str(tmp_path / "t"))
+    big = spark.read.parquet(str(tmp_path / "t")).select("k")
+    plan = spark.range(0, 10**9).withColumnRenamed("id", "k").join(big, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_bars_are_hashed_not_sorted(spark):
     plan = Lake(spark, "/root/testdata/sf0.001").bars._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and not re.search(r"SortAggregate|\bSort\b", plan)
