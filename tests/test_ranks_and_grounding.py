@@ -7,7 +7,7 @@ from helpers import d, rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import grounding, ranks
-from tidemark.operators.scoring import SCORE_COLUMNS
+from tidemark.operators.scoring import SCORE_COLUMNS, score
 from tidemark.plans.standins import Lake
 
 
@@ -36,6 +36,28 @@ def test_totals_do_not_depend_on_bins(spark, monkeypatch, values):
     assert whole.columns == ["v", "n", "n_before", "n_total"] and whole.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 1401
 
 
+@pytest.mark.parametrize("values", [1, 4, 40, 10_000])
+def test_percentiles_do_not_depend_on_cuts(spark, monkeypatch, values):
+    import pandas as pd
+
+    monkeypatch.setattr(ranks, "BIN_VALUES", values)
+    r = random.Random(9)
+    data = [(f"s{i}", g, r.choice([r.gauss(0, 1), 2.0, 2.0, float(r.randrange(4)), -0.0, None]), r.choice([1.0, 1e300, float("inf"), -1e300])) for g in "ab" for i in range(400)]
+    df = spark.createDataFrame(data, "symbol string, as_of string, x double, y double")
+    got = {(x.symbol, x.as_of): (x.x_pct, x.y_pct) for x in ranks.percentiles(df, ["symbol"], ["as_of"], {"x": True, "y": False}).collect()}
+    table = pd.DataFrame(data, columns=["symbol", "as_of", "x", "y"])
+    x, y = table.groupby("as_of")["x"].rank(pct=True), table.groupby("as_of")["y"].rank(pct=True, ascending=False)
+    for s, g, a, b in zip(table["symbol"], table["as_of"], x, y):
+        assert got[s, g] == (pytest.approx(a) if a == a else None, pytest.approx(b))
+
+
+def test_ranked_rows_move_to_their_bin_only(spark, tmp_path):
+    """No shuffle by value and no wide rows before the shuffle that puts measures side by side."""
+    spark.range(1000).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit("d").alias("as_of"), F.rand(1).alias("ret_3m"), F.rand(2).alias("vol_60d")).write.parquet(str(tmp_path / "t"))
+    plan = score(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*value#", plan) and "REPARTITION_BY_COL" in plan
+
+
 def test_compressed_tables_count_as_rows(spark, tmp_path):
     """A side whose file is small but whose rows are not stays out of the driver."""
     spark.range(0, 3_000_000, 1, 2).select((F.col("id") % 1000).alias("k"), "id").write.parquet(str(tmp_path / "t"))
