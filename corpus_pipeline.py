@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.llm.dedup_exact import keep_first_copies
 from tidemark.llm.decontaminate import without_contaminated
 from tidemark.llm.near_dedup import keep_representatives
@@ -18,14 +18,11 @@ from tidemark.session import tune
 from tidemark.staging import staged
 
 
-#: rows of one Arrow batch: stages follow one another in the same executors, whose idle Python workers still hold what
-#: they took, so batches of whole texts are kept small
-BATCH_ROWS = 512
-
-
 def prepare(spark: SparkSession) -> None:
+    """Stages follow one another in the same executors, whose idle Python workers still hold what they took, so batches of
+    whole texts are kept small."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

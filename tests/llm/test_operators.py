@@ -3,8 +3,10 @@ import random
 import re
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import contamination as brute_contamination, near_components, personal, repeats, shingles
 from pyspark.sql import functions as F
@@ -357,6 +359,22 @@ def test_exact_groups_with_odd_rows(odd, none, rows):
 
 
 # --- 8 -------------------------------------------------------------------------------------------
+def test_blocks_are_cut_from_pieces_of_bounded_size(monkeypatch):
+    texts = ["x" * n for n in (10, 0, 700, 300, 1500, 5, 5)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts, "text_sha256": ["-"] * 7})
+    pieces = [p.column(1).to_pylist() for p in dedup_exact._pieces(iter([batch, batch.slice(0, 0)]), 1000)]
+    assert pieces == [texts[:3], texts[3:4], texts[4:5], texts[5:]]  # a longer text is a piece of its own
+    monkeypatch.setattr(dedup_exact.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    out = list(dedup_exact._blocks(100, 1000)(iter([batch])))
+    assert max(sum(len(b) for b in o.column("block").to_pylist() if b) for o in out) <= 1500
+    kept = {}  # put together again, block by block
+    for blocks, places in zip(out[::2], out[1::2]):
+        names = blocks.column("block").to_pylist()
+        for slot, row, doc in zip(places.column("slot").to_pylist(), places.column("row").to_pylist(), places.column("doc_id").to_pylist()):
+            kept[row, doc] = kept.get((row, doc), b"") + names[slot]
+    assert kept == {(i, i): t.encode() for i, t in enumerate(texts)}
+
+
 def test_window_starts_equal_brute_force():
     for seed in range(15):
         r = random.Random(seed)

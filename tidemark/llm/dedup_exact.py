@@ -5,8 +5,8 @@ name, unequal ones different names. Adjacent names of a text are then paired and
 by level, until each text is down to one name. The identity of a text is (its number of blocks, that name): two texts
 have the same identity if and only if they are the same bytes. No hash decides anything.
 
-Block bytes are shuffled once: each Arrow batch first reduces its blocks to distinct ones, so a block that a third of
-all rows hold travels once per batch. Names are (partition of the sort, rank within it): integers, ordered within a
+Block bytes are shuffled once: each Arrow batch, cut where its texts reach `PIECE_BYTES`, first reduces its blocks to
+distinct ones, so a block that a third of all rows hold travels once per piece. Names are (partition of the sort, rank within it): integers, ordered within a
 partition, never collected. The levels handle integers only, of texts longer than one block.
 """
 from __future__ import annotations
@@ -21,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import released, text_of
 from tidemark.staging import discard, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
+#: bytes of text whose blocks a task holds at once (a single longer text is held whole)
+PIECE_BYTES = 2 << 20
 
 
 def normalised(column: str = "text"):
@@ -35,14 +37,26 @@ def normalised(column: str = "text"):
 MIXED = "slot long, block binary, row long, pos int, batch string, n_blocks int, doc_id long, text_sha256 string"
 
 
-def _blocks(size: int):
-    """Batches of (doc_id, text, text_sha256) to the distinct blocks of the batch and, per block of a text, a reference."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut, in their order, into runs of rows with at most `most` bytes of text (column 1), one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _blocks(size: int, most: int = PIECE_BYTES):
+    """Batches of (doc_id, text, text_sha256) to the distinct blocks of a piece and, per block of a text, a reference."""
     kind = pa.schema([("slot", pa.int64()), ("block", pa.binary()), ("row", pa.int64()), ("pos", pa.int32()), ("batch", pa.string()),
                       ("n_blocks", pa.int32()), ("doc_id", pa.int64()), ("text_sha256", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _pieces(batches, most):
             mark, slots, of, counts = uuid.uuid4().hex, {}, [], []
             for text in batch.column(1).to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
@@ -59,7 +73,7 @@ def _blocks(size: int):
                  pa.array(counts[text], pa.int32()), batch.column(0).take(pa.array(text)), batch.column(2).take(pa.array(text))], schema=kind)
             rows += len(counts)
 
-    return cut
+    return released(cut)
 
 
 def _named(df: DataFrame, keys: list[str], carry: list[str], name: str) -> DataFrame:
