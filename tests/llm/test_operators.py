@@ -151,6 +151,46 @@ def test_a_part_that_is_there_stays(tmp_path):
         assert (tmp_path / "b").read_bytes() == kept and not (tmp_path / attempt).exists()
 
 
+
+def test_encoder_cuts_chunks_as_the_library_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import WordEncoder
+
+    letters = [chr(i) for i in range(1, 0x250)]
+    texts = ["".join(letters), " ".join(f"a{c}B{c}{c}1" for c in letters), "don't 'Ve \"'s we'll12 x''re", "Éa²½9-_-<|b <|endoftext|> \u0130x日本 naïve\u0301", "", None]
+    whole = Tokenizer.from_file(tokenizer_file())
+    counts, ids = WordEncoder(tokenizer_file()).batch(pa.array(texts))
+    wanted = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_encoder_asks_the_model_once_for_a_word(monkeypatch):
+    """Whatever its case and the marks around it, and however many new words come in between."""
+    import pyarrow as pa
+
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50, raising=False)
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50, raising=False)
+    encoder, asked = tokens.WordEncoder(tokenizer_file()), []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.model.tokenize(piece)
+
+    encoder.model = Counting(encoder.model)
+    for k in range(8):
+        new = " ".join(f"new{'abcdefgh'[k]}{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+        encoder.batch(pa.array([f"word Word, WORD. (word) {new}"]))
+    assert asked.count("word") == 1
+
+
 @pytest.mark.parametrize("text", ["Don't STOP 42!!", "İstanbul ΣΑΣ ǅ ﬁ", "a<|endoftext|>b", "été 가", "tab\tnew blank x", "日本語 テスト", "I'll we've O'Re 's"])
 def test_word_encoder_equals_the_library(encode, text):
     import pyarrow as pa
