@@ -102,3 +102,13 @@ def test_company_facts_json(spark):
 def test_latest_filing_per_form(spark):
     df = spark.createDataFrame([("A", ["8-K", "10-Q", "10-K", "10-Q", "10-K"], ["a1", "a2", "a3", "a4", "a5"], ["2024-05-01"] * 5, ["d"] * 5)], "symbol string, form array<string>, accn array<string>, filed array<string>, doc array<string>")
     assert rows(tf.latest_filings(df), "form", "accn") == [("10-K", "a3"), ("10-Q", "a2")]
+
+
+def test_filings_need_no_sorted_aggregates(spark):
+    """Numbers alone are aggregated; of one rank a NULL value comes first, then the smaller one."""
+    rows = [("A", c, v, "USD", d("2023-01-01"), d("2023-03-31"), "10-Q", d("2023-05-01"), "a1", rank) for c, v, rank in [
+        ("Revenues", 7.0, 1), ("Revenues", 9.0, 0), ("Revenues", 8.0, 0), ("RevenueFromContractWithCustomerExcludingAssessedTax", 1.0, 0), ("GrossProfit", 3.0, 0), ("GrossProfit", None, 0)]]
+    facts = spark.createDataFrame(rows, "symbol string, concept string, value double, unit string, period_start date, period_end date, form string, filed_at date, accession_no string, source_rank int")
+    out = fx.build_financials(facts)
+    assert [(r.revenue, r.gross_profit) for r in out.collect()] == [(8.0, None)]
+    assert "SortAggregate" not in out._jdf.queryExecution().sparkPlan().toString()
