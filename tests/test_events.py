@@ -143,6 +143,22 @@ def test_control_draw_does_not_depend_on_the_index(spark):
     assert {s for _, s in rows(ev.sample_controls(picks, ends, universe=strict), "rec_date", "symbol")} == {"T1"}
 
 
+def test_opened_arcs_do_not_pass_through_the_driver(spark, monkeypatch):
+    """A date opens as many arcs as its picks ask for, which the size of the table of dates does not tell."""
+    plans = []
+    real = ev.staged
+
+    def kept(df, name="table"):
+        if name == "controls":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(ev, "staged", kept)
+    b = bars(spark, [1.0] * 500, "AAA", "2020-01-01").unionByName(bars(spark, [1.0] * 500, "BBB", "2020-01-01"))
+    assert rows(ev.sample_controls(recs(spark, [("2021-04-01", "AAA", "BUY")]), b), "symbol") == [("BBB",)]
+    assert plans and all("SortMergeJoin [_ring" in p and "BroadcastHashJoin [_ring" not in p for p in plans), plans
+
+
 def test_forward_returns_never_join_back_to_their_probes(spark, tmp_path):
     """Small files may hold many rows: a side as long as the input must not look small enough to be sent to every task."""
     path = str(tmp_path / "recs")
